@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumatwin.llm import codes, components, history, survivors
+from lumatwin.llm import codes, components, history, mixing, survivors, tokens
 from lumatwin.llm.inputs import PHASH_RADIUS, file_batches, file_hashes
 from lumatwin.operators.hamming import near_values
 from lumatwin.tables import table
@@ -50,6 +50,11 @@ def queries() -> dict:
         "p4_records": survivors.survivor_records,
         "p4_consensus": survivors.survivor_consensus,
         "p5_found": tied_files,
+        "p6_ids": tokens.document_ids,
+        "p6_offsets": tokens.document_offsets,
+        "p6_round_trip": tokens.round_trip,
+        "p7_selection": mixing.selection,
+        "p7_shares": mixing.shares,
     }
 
 
