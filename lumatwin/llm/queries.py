@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumatwin.llm import codes, components, history, mixing, survivors, tokens
+from lumatwin.llm import codes, components, history, mixing, personal, survivors, tokens
 from lumatwin.llm.inputs import PHASH_RADIUS, file_batches, file_hashes
 from lumatwin.operators.hamming import near_values
 from lumatwin.tables import table
@@ -55,6 +55,8 @@ def queries() -> dict:
         "p6_round_trip": tokens.round_trip,
         "p7_selection": mixing.selection,
         "p7_shares": mixing.shares,
+        "p8_found": personal.details,
+        "p8_redacted": personal.redacted_documents,
     }
 
 
