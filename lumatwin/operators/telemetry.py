@@ -1,4 +1,4 @@
-"""Figures on operations over time. events(event_id, ts, key, value)."""
+"""Figures on operations over time. events(event_id, ts, key, value); ts with or without a time zone."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lumatwin.operators.ordered import chunked
 
 
+def _us():
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def summary(events: DataFrame) -> DataFrame:
     """Per key: count, total, smallest, largest and mean value."""
     return events.groupBy("key").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
@@ -34,7 +38,7 @@ def rate(events: DataFrame, seconds: float, least: int) -> DataFrame:
     """
     span = int(seconds * 1e6)
     stretch = span * 1000
-    us = F.unix_micros("ts")
+    us = _us()
     own = F.floor(us / stretch).cast("long")
     copies = F.when(us % stretch > stretch - span, F.array(F.struct(own.alias("s"), F.lit(False).alias("halo")), F.struct((own + 1).alias("s"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(own.alias("s"), F.lit(False).alias("halo"))))
     rows = events.select("event_id", "key", us.alias("us"), F.explode(copies).alias("c")).select("event_id", "key", "us", "c.*")
@@ -45,7 +49,7 @@ def rate(events: DataFrame, seconds: float, least: int) -> DataFrame:
 def throttle(events: DataFrame, per_second: float) -> DataFrame:
     """Seconds that each event would have had to wait so that its key's events keep a rate; 0 for the first."""
     w = Window.partitionBy("chunk", "key").orderBy("place")
-    gap = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6
+    gap = (_us() - F.lag(_us()).over(w)) / 1e6
     rows = _in_order(events, 1).withColumn("wait", F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0 / per_second) - gap), F.lit(0.0)))
     return rows.where("NOT halo").select("event_id", "key", "wait")
 
@@ -73,7 +77,7 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
                 out.append(busy)
             yield pa.RecordBatch.from_arrays([x["event_id"], x["key"], pa.array(out, pa.bool_())], ["event_id", "key", "backed_off"])
 
-    rows = events.select("event_id", "key", F.unix_micros("ts").alias("us")).repartition("key").sortWithinPartitions("key", "us", "event_id")
+    rows = events.select("event_id", "key", _us().alias("us")).repartition("key").sortWithinPartitions("key", "us", "event_id")
     return rows.mapInArrow(run, f"event_id long, key {events.schema['key'].dataType.simpleString()}, backed_off boolean")
 
 

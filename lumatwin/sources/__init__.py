@@ -1 +1 @@
-
+"""Where files, settings and logs are read from."""
