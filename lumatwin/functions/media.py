@@ -178,9 +178,14 @@ def age_days(now: float, then: Column) -> Column:
     return F.floor((F.lit(now) - then) / DAY_S)
 
 
+def stripped(text: Column) -> Column:
+    """A text without outer white space of any kind."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def exif_seconds(text: Column) -> Column:
     """A timestamp text of one of four formats as seconds since 1970 UTC, else null."""
-    t = F.trim(text)
+    t = stripped(text)
     day = r"(\d{4}):(\d{2}):(\d{2})"
     shapes = [(rf"^{day} (\d{{2}}:\d{{2}}:\d{{2}})$", "$1-$2-$3 $4"), (rf"^{day} (\d{{2}}:\d{{2}}:\d{{2}}\.\d{{1,6}})$", "$1-$2-$3 $4"), (r"^(\d{4})([-/])(\d{2})\2(\d{2}) (\d{2}:\d{2}:\d{2})$", "$1-$3-$4 $5")]
     plain = F.coalesce(*[F.when(t.rlike(p), F.regexp_replace(t, p, to)) for p, to in shapes])
@@ -189,12 +194,12 @@ def exif_seconds(text: Column) -> Column:
 
 def zone_offset(text: Column) -> Column:
     """An offset of the form +HH:MM, else null."""
-    return F.nullif(F.regexp_extract(F.trim(text), r"^([+-]\d{2}:\d{2})$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(stripped(text), r"^([+-]\d{2}:\d{2})$", 1), F.lit(""))
 
 
 def char_distance(a: Column, b: Column) -> Column:
-    """Characters in which two texts differ, as far as the shorter one goes."""
-    n = F.least(F.length(a), F.length(b))
+    """Characters in which two texts differ, as far as the shorter one goes; null where one is null."""
+    n = F.when(a.isNotNull() & b.isNotNull(), F.least(F.length(a), F.length(b)))
     return F.aggregate(F.sequence(F.lit(0), n), F.lit(0), lambda s, k: s + F.when((k > 0) & (F.substring(a, k, F.lit(1)) != F.substring(b, k, F.lit(1))), 1).otherwise(0))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data_quality", "grouping", "workflow", "upkeep")
+MODULES = ("data_quality", "grouping", "workflow", "upkeep", "fields")
 
 
 def _merged(what: str) -> dict:

@@ -1 +1 @@
-
+"""The incremental operators as streams."""
