@@ -157,6 +157,14 @@ _REC = f"""{_FIL}, rk AS (SELECT *, row_number() OVER (PARTITION BY regexp_repla
 go AS (SELECT size FROM cf WHERE age > 30 UNION ALL SELECT size FROM rk WHERE k > 1 UNION ALL SELECT size FROM rk WHERE age > 1 AND {_TEMP})"""
 
 
+def _purge(cap: int) -> str:
+    return f"""{_ENT}, lv AS (SELECT * FROM en WHERE e <> 'hard'), t AS (SELECT sum(size) a, (SELECT sum(size) FROM lv) l FROM en),
+r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY last_accessed, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, row_number() OVER (ORDER BY last_accessed, key) k FROM lv),
+sf AS (SELECT key, size, row_number() OVER (ORDER BY key) k, count(*) OVER () n FROM en WHERE e = 'soft')
+SELECT key, size, 'hard_expired' reason FROM en WHERE e = 'hard' UNION ALL SELECT key, size, 'lru' FROM r, t WHERE l > {cap} AND b < l - {cap} * 0.8 AND k <= 1000
+UNION ALL SELECT key, size, 'soft_expired' FROM sf, t WHERE a < {cap} * 0.5 AND k <= n // 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     sums = f"count(*) entries, coalesce(sum(size), 0)::BIGINT size, count(*) FILTER (e = 'hard') hard, count(*) FILTER (e = 'soft') soft, coalesce(sum(size), 0) * 100.0::DOUBLE / {CAP} percent_of_cap"
     ev = "SELECT event_id, ts, {} AS key, value FROM events"
@@ -165,11 +173,8 @@ def oracle_sql() -> dict[str, str]:
         "a10_cache_stats": _ENT + f" SELECT coalesce(entry_type, '') entry_type, {sums} FROM en GROUP BY 1 UNION ALL SELECT 'all', {sums} FROM en",
         "p22_cache_expiry": _ENT + " SELECT key, e expiry FROM en",
         "w02_lru_purge": _ENT + ", r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY last_accessed, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM en) SELECT key, size FROM r WHERE b < 2000000000",
-        "i04_purge_plan": _ENT + f""", lv AS (SELECT * FROM en WHERE e <> 'hard'), t AS (SELECT sum(size) a, (SELECT sum(size) FROM lv) l FROM en),
-r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY last_accessed, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, row_number() OVER (ORDER BY last_accessed, key) k FROM lv)
-SELECT key, size, 'hard_expired' reason FROM en WHERE e = 'hard' UNION ALL SELECT key, size, 'lru' FROM r, t WHERE l > {CAP} AND b < l - {CAP} * 0.8 AND k <= 1000""",
-        "w11_soft_purge_plan": _ENT + """, r AS (SELECT key, size, row_number() OVER (ORDER BY key) k, count(*) OVER () n FROM en WHERE e = 'soft')
-SELECT key, size, 'hard_expired' reason FROM en WHERE e = 'hard' UNION ALL SELECT key, size, 'soft_expired' FROM r WHERE k <= n // 2""",
+        "i04_purge_plan": _purge(CAP),
+        "w11_soft_purge_plan": _purge(10**15),
         "w03_size_purge": _FIL + ", r AS (SELECT path, size, coalesce(sum(size) OVER (ORDER BY age DESC, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, row_number() OVER (ORDER BY age DESC, size, path) rank FROM cf) SELECT path, size, rank FROM r WHERE b < 2000000000",
         "p20_sweep": _FIL + f" SELECT path, age > 7 fast, age > 30 OR size = 0 OR {_BROKEN} OR ({_TEMP} AND age > 1) \"full\" FROM cf",
         "w04_keep_newest": _FIL + r""", g AS (SELECT regexp_replace(path, '[0-9a-z]+(\.[^./]*)$', 'deadbeef\1') path, mtime FROM cf GROUP BY 1, 2), p AS (SELECT path, mtime, regexp_replace(path, '/[^/]*$', '') || '/' || """ + _PATTERN.format("regexp_extract(path, '[^/]*$')") + " pattern FROM g) SELECT path, pattern, path = first_value(path) OVER (PARTITION BY pattern ORDER BY mtime DESC, path) kept FROM p",

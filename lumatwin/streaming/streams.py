@@ -23,10 +23,10 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: float = 2.0) -> DataFrame:
+def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: float = 2.0, late: str = "10 minutes") -> DataFrame:
     """(key, event_id, backed_off) as operators.telemetry.back_off, for events(event_id long, ts, key long) that arrive in order of time for each key.
 
-    The state of a key is the times of its last span and the last back-off; it's given up an hour after the key's last event.
+    The state of a key is the times of its last span and the last back-off; it's given up when the watermark is an hour past the key's last event.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,7 +36,7 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
         recent, since = (list(state.get[0]), state.get[1]) if state.exists else ([], float("-inf"))
         for p in parts:
             p, out = p.sort_values(["ts", "event_id"]), []
-            for t in p["ts"].astype("int64") / 1e9 if str(p["ts"].dtype).endswith("ns]") or "ns" in str(p["ts"].dtype) else p["ts"].map(lambda x: x.timestamp()):
+            for t in p["ts"].map(lambda x: x.timestamp()):
                 recent = [r for r in recent if r > t - seconds] + [t]
                 busy = t - since < hold
                 if not busy and len(recent) >= least:
@@ -44,9 +44,9 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
                 out.append(busy)
             yield pd.DataFrame({"key": key[0], "event_id": p["event_id"].to_numpy(), "backed_off": out})
         state.update((recent, since))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(recent[-1] * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, backed_off boolean", "recent array<double>, since double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key long, event_id long, backed_off boolean", "recent array<double>, since double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
