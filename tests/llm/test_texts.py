@@ -132,7 +132,7 @@ FOUND = [
     ("SSN: 953 12 7909, XK9739874. Serial 953-20-3312 (serial 4658592) MODEL RELEASE 261-6462242", {("id_number", "953 12 7909"), ("id_number", "XK9739874")}),
     ("QQ 31 94 25 B and 110390-969H and 25354785D and ZZ57H6981N6 scan-227-20-7146.tif", {("id_number", x) for x in ("QQ 31 94 25 B", "110390-969H", "25354785D", "ZZ57H6981N6")}),
     ("Prints go to 63B Weir Lane, Flat 2, Harrow Quay ZQ4 1XX, second floor.", {("address", "63B Weir Lane, Flat 2, Harrow Quay ZQ4 1XX")}),
-    ("My address is 6 Saltmarsh Road\r\nSkelby; the old one. Since 25 the shared drive is full.", {("address", "6 Saltmarsh Road\r\nSkelby")}),
+    ("My address is 6 Saltmarsh Road\r\nSkelby; the old one. Since 25 the shared drive is full, IN 2023 THE SHARED DRIVE WAS.", {("address", "6 Saltmarsh Road\r\nSkelby")}),
     ("an Gerberstraße 59, 00474 Dunmarrow. Die", {("address", "Gerberstraße 59, 00474 Dunmarrow")}),
     ("au 64 bis, rue des Tanneurs, 00845 Vellbrook. Le", {("address", "64 bis, rue des Tanneurs, 00845 Vellbrook")}),
     ("a Calle del Molino, 26, bajo, 00519 Harrow Quay.", {("address", "Calle del Molino, 26, bajo, 00519 Harrow Quay")}),
