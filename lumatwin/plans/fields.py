@@ -24,7 +24,7 @@ def exif_rows(spark: SparkSession, d: str):
 
 def scan_rules(spark, d):
     """What a scan makes of each path."""
-    f, path = files(spark, d), F.col("path")
+    f, path = files(spark, d, "path", "dims_w", "dims_h"), F.col("path")
     ext = media.extension(path)
     return f.select(
         "file_id", media.matches(media.name_of(path), media.INCLUDE).alias("included"), media.in_cache_dir(path).alias("in_cache"), media.format_name(path).alias("format_name"), media.big_enough(F.col("dims_w"), F.col("dims_h")).alias("big_enough"),
@@ -34,7 +34,7 @@ def scan_rules(spark, d):
 
 def format_priority(spark, d):
     p = media.format_priority(F.col("format"), F.col("path"))
-    return files(spark, d).select("file_id", p.alias("priority"), media.format_class(p).alias("class"), media.resolution(F.col("dims_w"), F.col("dims_h")).alias("resolution"), media.present(F.col("exif_dt")).alias("exif_dt"))
+    return files(spark, d, "path", "format", "dims_w", "dims_h", "exif_dt").select("file_id", p.alias("priority"), media.format_class(p).alias("class"), media.resolution(F.col("dims_w"), F.col("dims_h")).alias("resolution"), media.present(F.col("exif_dt")).alias("exif_dt"))
 
 
 def cameras(spark, d):
@@ -44,12 +44,12 @@ def cameras(spark, d):
 
 def orientation(spark, d):
     w, h = media.upright(F.col("dims_w"), F.col("dims_h"), F.col("orientation"))
-    return files(spark, d).select("file_id", w.alias("w"), h.alias("h"), media.orientation_steps(F.col("orientation")).alias("steps"))
+    return files(spark, d, "dims_w", "dims_h", "orientation").select("file_id", w.alias("w"), h.alias("h"), media.orientation_steps(F.col("orientation")).alias("steps"))
 
 
 def thumb_sizes(spark, d):
     w, h = media.thumb_size(F.col("dims_w"), F.col("dims_h"), 256)
-    return files(spark, d).select("file_id", w.alias("w"), h.alias("h"), media.thumb_name(F.col("path"), F.col("size"), F.col("mtime")).alias("thumb"))
+    return files(spark, d, "path", "size", "mtime", "dims_w", "dims_h").select("file_id", w.alias("w"), h.alias("h"), media.thumb_name(F.col("path"), F.col("size"), F.col("mtime")).alias("thumb"))
 
 
 def exif_times(spark, d):
@@ -59,7 +59,7 @@ def exif_times(spark, d):
 
 def path_hashes(spark, d):
     """hashes of paths and texts."""
-    return files(spark, d).select("file_id", F.md5("path").alias("path_md5"), F.sha2("path", 256).alias("path_sha256"))
+    return files(spark, d, "path").select("file_id", F.md5("path").alias("path_md5"), F.sha2("path", 256).alias("path_sha256"))
 
 
 def text_hashes(spark, d):
@@ -68,7 +68,7 @@ def text_hashes(spark, d):
 
 def name_patterns(spark, d):
     """on names built from path hashes and times."""
-    f = files(spark, d)
+    f = files(spark, d, "path_hash", "last_seen_at")
     name = F.concat(F.lit("thumb_"), "path_hash", F.lit("_"), F.date_format(F.timestamp_seconds(F.lit(1_500_000_000) + F.col("file_id")), "yyyyMMdd_HHmmss"), F.lit(".webp"))
     return f.select("file_id", media.name_pattern(name).alias("pattern"), media.age_days(NOW, F.col("last_seen_at")).alias("age"))
 
@@ -80,21 +80,21 @@ def char_distance(spark, d):
 
 def size_ratios(spark, d):
     """F30 within groups: how much each member's size differs from the first one's."""
-    m = members(spark, d).join(files(spark, d).select("file_id", "size"), "file_id")
+    m = members(spark, d).join(files(spark, d, "size"), "file_id")
     first = m.groupBy("group_id").agg(F.min(F.struct("file_id", "size")).alias("f")).select("group_id", F.col("f.file_id").alias("first_id"), F.col("f.size").alias("first_size"))
     return m.join(first, "group_id").select("group_id", "file_id", F.round(media.size_ratio(F.col("size"), F.col("first_size")), 9).alias("ratio"))
 
 
 def similar_lookup(spark, d):
     """Files of the size and fast_hash of some other file, by a join instead of a filter per file; the most recent first."""
-    f = current_features(spark, d, ["file_id", "feature_ver", "fast_hash"]).where("fast_hash <> ''").join(files(spark, d).select("file_id", "size", "mtime"), "file_id")
+    f = current_features(spark, d, ["file_id", "feature_ver", "fast_hash"]).where("fast_hash <> ''").join(files(spark, d, "size", "mtime"), "file_id")
     a, b = f.select(F.col("file_id").alias("asked"), "size", "fast_hash"), f.select(F.col("file_id").alias("found"), "size", "fast_hash", "mtime")
     return a.join(b, ["size", "fast_hash"]).where("asked <> found").select("asked", "found", "mtime")
 
 
 def report(spark: SparkSession, d: str):
     exif = exif_rows(spark, d).select("file_id", "camera_make")
-    return reports.pairs(members(spark, d), files(spark, d), current_features(spark, d, ["file_id", "feature_ver", "sha256", "phash"]), exif)
+    return reports.pairs(members(spark, d), files(spark, d, "path", "size", "mtime", "dims_w", "dims_h", "exif_dt", "camera_model", "created_at"), current_features(spark, d, ["file_id", "feature_ver", "sha256", "phash"]), exif)
 
 
 def report_rows(spark, d):
@@ -118,7 +118,7 @@ def report_json(spark, d):
 def report_touching(spark, d):
     """Report rows in which a promoted duplicate is on either side."""
     rows = report(spark, d).select("group_id", "original_path", "duplicate_path", "tag")
-    picked = members(spark, d).where("role = 'safe_duplicate'").join(files(spark, d), "file_id").select("path")
+    picked = members(spark, d).where("role = 'safe_duplicate'").join(files(spark, d, "path"), "file_id").select("path")
     return selection.touching(rows, picked, "original_path", "duplicate_path")
 
 

@@ -19,7 +19,8 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     """The active current files, with their features where they have some; unusable hashes are null."""
     features = current_features(spark, d, ["file_id", "feature_ver", "fast_hash", "sha256", *HASHES])
     clean = features.select("file_id", hex_digits(F.col("fast_hash"), 16).alias("fast_hash"), hex_digits(F.col("sha256"), 64).alias("sha256"), *HASHES)
-    files = current_files(spark, d).withColumnRenamed("id", "file_id").where("status = 'active'")
+    columns = ["id", "last_seen_at", "path", "size", "dims_w", "dims_h", "exif_dt", "format", "status"]
+    files = current_files(spark, d, columns).withColumnRenamed("id", "file_id").where("status = 'active'")
     return files.join(clean, "file_id", "left")
 
 
@@ -50,7 +51,7 @@ def exact_no_sha(spark, d):
 def original_selection(spark, d):
     """W01 over the stored groups: the original of each by the sort order, beside the number of its members."""
     members = table(spark, d, "group_members").select(F.col("group_id").alias("group_no"), "file_id").distinct()
-    files = current_files(spark, d).withColumnRenamed("id", "file_id")
+    files = current_files(spark, d, ["id", "last_seen_at", "path", "size", "dims_w", "dims_h", "exif_dt", "format"]).withColumnRenamed("id", "file_id")
     counts = members.join(files.select("file_id"), "file_id").groupBy("group_no").agg(F.count("*").alias("members"))
     return grouping.originals(members, files).join(counts, "group_no")
 

@@ -19,12 +19,12 @@ CAP = 4_000_000_000
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    return current_files(spark, d).select("path_hash", "path", F.when(F.col("size") >= 0, F.col("size")).otherwise(0).alias("size"), "created_at", F.col("last_seen_at").alias("last_accessed"), F.col("format").alias("entry_type")).withColumnRenamed("path_hash", "key")
+    return current_files(spark, d, ["id", "last_seen_at", "path_hash", "path", "size", "created_at", "format"]).select("path_hash", "path", F.when(F.col("size") >= 0, F.col("size")).otherwise(0).alias("size"), "created_at", F.col("last_seen_at").alias("last_accessed"), F.col("format").alias("entry_type")).withColumnRenamed("path_hash", "key")
 
 
 def cache_files(spark: SparkSession, d: str) -> DataFrame:
     """Files with the time they were last seen as their age."""
-    return current_files(spark, d).select("path", F.when(F.col("size") >= 0, F.col("size")).otherwise(0).alias("size"), F.col("last_seen_at").alias("mtime"))
+    return current_files(spark, d, ["id", "last_seen_at", "path", "size"]).select("path", F.when(F.col("size") >= 0, F.col("size")).otherwise(0).alias("size"), F.col("last_seen_at").alias("mtime"))
 
 
 def operations(spark: SparkSession, d: str) -> DataFrame:

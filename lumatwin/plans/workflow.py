@@ -17,8 +17,11 @@ from lumatwin.tables import current_features, current_files, table
 NOW = 1_764_547_200.0  # 2025-12-01
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    return current_files(spark, d).withColumnRenamed("id", "file_id")
+def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current files with the columns named, or all. Naming them keeps the scan narrow: the aggregate that picks the row hides unused ones from the optimizer."""
+    names = ["id", "last_seen_at", *[c for c in columns if c != "last_seen_at"]] if columns else None
+    found = current_files(spark, d, names).withColumnRenamed("id", "file_id")
+    return found if not columns else found.select("file_id", *columns)
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +42,11 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
     """What a scan finds: the current states of the files that aren't missing."""
-    return files(spark, d).where("status <> 'missing'").select("path", "size", "mtime")
+    return files(spark, d, "path", "size", "mtime", "status").where("status <> 'missing'").select("path", "size", "mtime")
 
 
 def automatic(spark: SparkSession, d: str) -> DataFrame:
-    return grouping.originals(members(spark, d), files(spark, d), "group_id")
+    return grouping.originals(members(spark, d), files(spark, d, "path", "size", "dims_w", "dims_h", "exif_dt", "format"), "group_id")
 
 
 def choices(spark: SparkSession, d: str) -> DataFrame:
@@ -57,11 +60,11 @@ def choices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def escalated(spark, d):
-    return escalation.escalate(members(spark, d), files(spark, d))
+    return escalation.escalate(members(spark, d), files(spark, d, "size", "exif_dt", "camera_model"))
 
 
 def escalation_no_camera(spark, d):
-    return escalation.escalate(members(spark, d), files(spark, d), check_camera=False)
+    return escalation.escalate(members(spark, d), files(spark, d, "size", "exif_dt", "camera_model"), check_camera=False)
 
 
 def escalation_summary(spark, d):
@@ -79,7 +82,7 @@ def role_status(spark, d):
 def groups_with_files(spark, d):
     """Groups with their members and the active files of those."""
     g = table(spark, d, "dup_groups").select(F.col("id").alias("group_id"), "reason").distinct()
-    return members(spark, d).join(g, "group_id").join(files(spark, d).where("status = 'active'").select("file_id", "path"), "file_id").select("group_id", "reason", "file_id", "role", "path")
+    return members(spark, d).join(g, "group_id").join(files(spark, d, "path", "status").where("status = 'active'").select("file_id", "path"), "file_id").select("group_id", "reason", "file_id", "role", "path")
 
 
 def override_applied(spark, d):
@@ -91,7 +94,7 @@ def override_roles(spark, d):
 
 
 def override_missing(spark, d):
-    return overrides.missing_originals(choices(spark, d), files(spark, d))
+    return overrides.missing_originals(choices(spark, d), files(spark, d, "status"))
 
 
 def override_stats(spark, d):
@@ -132,15 +135,15 @@ def upsert_snapshot(spark, d):
 
 
 def mark_missing(spark, d):
-    return snapshots.mark_missing(files(spark, d), "/vault/ardent", 1_758_000_000.0).select("file_id", "path", "status")
+    return snapshots.mark_missing(files(spark, d, "path", "status", "last_seen_at"), "/vault/ardent", 1_758_000_000.0).select("file_id", "path", "status")
 
 
 def missing_features(spark, d):
-    return snapshots.lacking(files(spark, d), table(spark, d, "features"))
+    return snapshots.lacking(files(spark, d, "status"), table(spark, d, "features"))
 
 
 def missing_work(spark, d):
-    return snapshots.lacking(files(spark, d), table(spark, d, "features"), thumbs(spark, d))
+    return snapshots.lacking(files(spark, d, "status"), table(spark, d, "features"), thumbs(spark, d))
 
 
 def kept_features(spark, d):
@@ -150,15 +153,15 @@ def kept_features(spark, d):
 
 
 def restore_members(spark, d):
-    return snapshots.restorable(members(spark, d), choices(spark, d), files(spark, d))[0].select("group_id", "file_id")
+    return snapshots.restorable(members(spark, d), choices(spark, d), files(spark, d, "status"))[0].select("group_id", "file_id")
 
 
 def restore_overrides(spark, d):
-    return snapshots.restorable(members(spark, d), choices(spark, d), files(spark, d))[1].select("group_id", "override_id")
+    return snapshots.restorable(members(spark, d), choices(spark, d), files(spark, d, "status"))[1].select("group_id", "override_id")
 
 
 def recommendation(spark, d):
-    return snapshots.recommend(files(spark, d), table(spark, d, "features"), thumbs(spark, d))
+    return snapshots.recommend(files(spark, d, "status"), table(spark, d, "features"), thumbs(spark, d))
 
 
 def feature_coverage(spark, d):
@@ -177,7 +180,7 @@ def table_counts(spark, d):
 
 def system_stats(spark, d):
     """One row of counts, MB of promoted duplicates, and the last time a file was seen."""
-    m, f = members(spark, d), files(spark, d)
+    m, f = members(spark, d), files(spark, d, "size", "last_seen_at")
     n = lambda r: F.count_if(F.col("role") == r)
     roles = m.join(f.select("file_id", "size"), "file_id", "left").agg(n("duplicate").alias("duplicates"), n("safe_duplicate").alias("safe_duplicates"), media.megabytes(F.coalesce(F.sum(F.when(F.col("role") == "safe_duplicate", F.col("size"))), F.lit(0))).alias("reclaimable_mb"))
     seen = f.agg(F.count("*").alias("files"), F.max("last_seen_at").alias("last_seen"))
@@ -186,7 +189,7 @@ def system_stats(spark, d):
 
 def selectable(spark: SparkSession, d: str) -> DataFrame:
     """Members with a file; promoted duplicates are selected."""
-    rows = members(spark, d).join(files(spark, d).select("file_id", "path", "size"), "file_id")
+    rows = members(spark, d).join(files(spark, d, "path", "size"), "file_id")
     return rows.select("group_id", "file_id", "path", "size", "role", (F.col("role") == "safe_duplicate").alias("selected"))
 
 
@@ -214,7 +217,7 @@ def view_safe(spark, d):
 
 def deleted(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in for the ledger of deletions: batches of files in the batches that brought them."""
-    f = files(spark, d).select("file_id", "path", "size", "status")
+    f = files(spark, d, "path", "size", "status")
     method = F.when(F.col("status") == "deleted", "permanent").when(F.col("status") == "missing", "recycle").otherwise("quarantine")
     b = table(spark, d, "batch_items").where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("batch_no").alias("batch_id"))
     return b.join(f, "file_id").select("batch_id", "path", "size", method.alias("method"))
