@@ -265,10 +265,14 @@ ch AS (SELECT m.file_id override_id, m.group_id, m.file_id original_file_id, au.
   FROM mem m JOIN au USING (group_id) JOIN (SELECT id, max(reason) reason, max(created_at) created_at FROM dup_groups GROUP BY 1) g ON g.id = m.group_id WHERE m.role = 'original'),
 ap AS (SELECT au.group_id, coalesce(ch.original_file_id, au.original_id) original_id, ch.group_id IS NOT NULL by_hand, CASE WHEN ch.original_file_id <> au.original_id THEN 'differs' ELSE 'none' END conflict FROM au LEFT JOIN ch ON ch.group_id = au.group_id AND ch.is_active),
 gone AS (SELECT ch.* FROM ch WHERE is_active AND original_file_id NOT IN (SELECT id FROM cur WHERE status = 'active'))"""
-_DELTA = f"""WITH {S.CURRENT}, st AS (SELECT id file_id, path, size, mtime, status, last_seen_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen_at) rn FROM files) WHERE rn = 1),
-li AS (SELECT path, size, mtime FROM cur WHERE status <> 'missing'),
-df AS (SELECT coalesce(st.path, li.path) path, file_id, CASE WHEN st.path IS NULL THEN 'new' WHEN li.path IS NULL THEN 'missing' WHEN st.size IS DISTINCT FROM li.size OR coalesce(abs(st.mtime - li.mtime) >= 1, (st.mtime IS NULL) <> (li.mtime IS NULL)) THEN 'changed' ELSE 'unchanged' END change
-  FROM st FULL JOIN li ON st.path = li.path)"""
+_STATES = f"""WITH {S.CURRENT}, st AS (SELECT id file_id, path, size, mtime, status, last_seen_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen_at) rn FROM files) WHERE rn = 1),
+li AS (SELECT path, size, mtime FROM cur WHERE status <> 'missing')"""
+_DIFFERS = "({0}.size IS DISTINCT FROM li.size OR coalesce(abs({0}.mtime - li.mtime) >= 1, ({0}.mtime IS NULL) <> (li.mtime IS NULL)))"
+_DELTA = f"""{_STATES}, df AS (SELECT coalesce(st.path, li.path) path, file_id, CASE WHEN st.path IS NULL THEN 'new' WHEN li.path IS NULL THEN 'missing' WHEN {_DIFFERS.format("st")} THEN 'changed' ELSE 'unchanged' END change FROM st FULL JOIN li ON st.path = li.path)"""
+_MERGED = f"""{_STATES}, o AS (SELECT * FROM st WHERE file_id NOT IN (SELECT file_id FROM batch_items WHERE batch_no = 6 AND file_id IS NOT NULL)),
+j AS (SELECT coalesce(o.path, li.path) path, o.file_id, li.path IS NULL gone, {_DIFFERS.format("o")} differs, o.size osz, li.size nsz, o.mtime omt, li.mtime nmt, o.status, o.last_seen_at FROM o FULL JOIN li ON o.path = li.path)
+SELECT path, coalesce(file_id, (SELECT max(file_id) FROM o) + row_number() OVER (PARTITION BY file_id IS NULL ORDER BY path)) file_id, CASE WHEN gone THEN osz ELSE nsz END size, CASE WHEN gone THEN omt ELSE nmt END mtime,
+  CASE WHEN gone AND status = 'active' THEN 'missing' WHEN gone OR (file_id IS NOT NULL AND NOT differs) THEN status ELSE 'active' END status, CASE WHEN gone THEN last_seen_at ELSE {NOW} END last_seen_at FROM j"""
 _WORK = _DELTA + """, wk AS (SELECT path, file_id, change, change <> 'missing' AND (change IN ('new', 'changed') OR file_id IS NULL OR file_id NOT IN (SELECT file_id FROM features)) needs_features,
   change <> 'missing' AND (change IN ('new', 'changed') OR file_id IS NULL OR file_id NOT IN (SELECT file_id FROM exif)) needs_thumbnail FROM df)"""
 _SEL = f"{_BASE}, se AS (SELECT m.group_id, m.file_id, path, size, role, role = 'safe_duplicate' selected FROM mem m JOIN cur ON cur.id = m.file_id)"
@@ -297,9 +301,7 @@ def oracle_sql() -> dict[str, str]:
         "j14_delta_diff": _DELTA + " SELECT * FROM df",
         "i01_delta_work": _WORK + " SELECT * FROM wk",
         "a19_delta_stats": _WORK + " SELECT count(*) FILTER (change = 'new') files_new, count(*) FILTER (change = 'changed') files_changed, count(*) FILTER (change = 'unchanged') files_unchanged, count(*) FILTER (change = 'missing') files_missing, count(*) FILTER (change <> 'missing') files_total, count(*) FILTER (needs_features OR needs_thumbnail) files_processed, count(*) FILTER (needs_features OR needs_thumbnail) / 100.0::DOUBLE files_per_second, count(*) FILTER (change = 'unchanged') / count(*) FILTER (change <> 'missing') reuse_ratio FROM wk",
-        "k02_upsert_snapshot": _DELTA.replace("li AS (", "o AS (SELECT * FROM st WHERE file_id NOT IN (SELECT file_id FROM batch_items WHERE batch_no = 6)), li AS (").rsplit(", df AS", 1)[0].rstrip().rstrip(",").split(",\ndf AS")[0] + """, j AS (SELECT coalesce(o.path, li.path) path, o.file_id, li.path IS NULL gone, o.size IS DISTINCT FROM li.size OR coalesce(abs(o.mtime - li.mtime) >= 1, (o.mtime IS NULL) <> (li.mtime IS NULL)) differs, o.size osz, li.size nsz, o.mtime omt, li.mtime nmt, o.status, o.last_seen_at FROM o FULL JOIN li ON o.path = li.path)
-SELECT path, coalesce(file_id, (SELECT max(file_id) FROM o) + row_number() OVER (PARTITION BY file_id IS NULL ORDER BY path)) file_id, CASE WHEN gone THEN osz ELSE nsz END size, CASE WHEN gone THEN omt ELSE nmt END mtime,
-  CASE WHEN gone AND status = 'active' THEN 'missing' WHEN gone THEN status WHEN file_id IS NOT NULL AND NOT differs THEN status ELSE 'active' END status, CASE WHEN gone THEN last_seen_at ELSE 1764547200.0::DOUBLE END last_seen_at FROM j""",
+        "k02_upsert_snapshot": _MERGED,
         "k06_mark_missing": f"WITH {S.CURRENT} SELECT id file_id, path, CASE WHEN starts_with(path, '/vault/ardent/') AND last_seen_at < 1758000000 AND status = 'active' THEN 'missing' ELSE status END status FROM cur",
         "j03_missing_features": f"WITH {S.CURRENT} SELECT id file_id FROM cur WHERE status = 'active' AND id NOT IN (SELECT file_id FROM features)",
         "u03_missing_work": f"WITH {S.CURRENT} SELECT id file_id FROM cur WHERE status = 'active' AND (id NOT IN (SELECT file_id FROM features) OR id NOT IN (SELECT file_id FROM exif))",
