@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
+from lumatwin.plans.sqltext import CURRENT, FEATURES
 
-def _hash(column: str, digits: int) -> str:
-    """A usable hash's digits, else null."""
-    found = f"lower(regexp_extract({column}, '^\\s*(?:[A-Za-z][A-Za-z0-9_\\-]*\\s*[:=]\\s*)?(?:0[xX])?([0-9a-fA-F]{{{digits}}})\\s*$', 1))"
-    return f"CASE WHEN {found} <> '' AND {found} <> repeat(left({found}, 1), {digits}) THEN {found} END"
 
-
-def _bits(digits: str) -> str:
-    """Digits as a number of 64 bits."""
-    return f"(('0x' || {digits})::UBIGINT)"
-
-
-FILES = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen_at DESC) rn FROM files WHERE id IS NOT NULL) WHERE rn = 1)"""
-FEATURES = f"""feat AS (SELECT file_id, {_hash("sha256", 64)} sha256, {_bits(_hash("phash", 16))} phash, {_bits(_hash("dhash", 16))} dhash, {_bits(_hash("whash", 16))} whash
-  FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY feature_ver DESC) rn FROM features) WHERE rn = 1)"""
-MEMBERS = f"""WITH {FILES},
+MEMBERS = f"""WITH {CURRENT},
 gm AS (SELECT DISTINCT m.group_id, m.file_id FROM group_members m JOIN dup_groups g ON g.id = m.group_id),
 known AS (SELECT id AS file_id, CASE WHEN size >= 1 THEN size END size, CASE WHEN dims_w BETWEEN 1 AND 100000 THEN dims_w END dims_w,
   CASE WHEN exif_dt >= 1262304000 AND exif_dt < 1767225600 AND NOT isnan(exif_dt) THEN exif_dt END exif_dt,
@@ -34,7 +22,7 @@ QUERIES = {
 m AS (SELECT f.id file_id, coalesce(b.batch_no, 0) batch_no, sha256, phash FROM (SELECT DISTINCT id FROM files) f LEFT JOIN b ON b.file_id = f.id JOIN feat ON feat.file_id = f.id)
 SELECT x.file_id file_id_a, y.file_id file_id_b FROM m x JOIN m y ON x.file_id < y.file_id AND x.batch_no + y.batch_no > 0
 WHERE x.sha256 = y.sha256 OR bit_count(xor(x.phash, y.phash)) <= 6""",
-    "p2_found": f"""WITH {FILES}, {FEATURES}, v AS (SELECT feat.* FROM feat JOIN cur ON cur.id = file_id WHERE phash IS NOT NULL AND dhash IS NOT NULL AND whash IS NOT NULL),
+    "p2_found": f"""WITH {CURRENT}, {FEATURES}, v AS (SELECT feat.* FROM feat JOIN cur ON cur.id = file_id WHERE phash IS NOT NULL AND dhash IS NOT NULL AND whash IS NOT NULL),
 d AS (SELECT x.file_id x, y.file_id y, bit_count(xor(x.phash, y.phash))::INT + bit_count(xor(x.dhash, y.dhash)) + bit_count(xor(x.whash, y.whash)) d FROM v x JOIN v y ON x.file_id <> y.file_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY d, y) rn FROM d WHERE d <= 24)
 SELECT DISTINCT least(x, y) file_id_a, greatest(x, y) file_id_b FROM n WHERE rn <= 5""",
@@ -42,7 +30,7 @@ SELECT DISTINCT least(x, y) file_id_a, greatest(x, y) file_id_b FROM n WHERE rn
     "p4_records": MEMBERS
     + """SELECT group_id, max(file_id) FILTER (field_name = 'record') file_id, max(size) FILTER (field_name = 'size') size, max(dims_w) FILTER (field_name = 'dims_w') dims_w,
   max(exif_dt) FILTER (field_name = 'exif_dt') exif_dt, max(mtime) FILTER (field_name = 'mtime') mtime FROM best WHERE rn = 1 GROUP BY 1""",
-    "p5_found": f"""WITH RECURSIVE {FILES}, {FEATURES}, gm AS (SELECT DISTINCT m.group_id, m.file_id FROM group_members m JOIN dup_groups g ON g.id = m.group_id JOIN cur ON cur.id = m.file_id),
+    "p5_found": f"""WITH RECURSIVE {CURRENT}, {FEATURES}, gm AS (SELECT DISTINCT m.group_id, m.file_id FROM group_members m JOIN dup_groups g ON g.id = m.group_id JOIN cur ON cur.id = m.file_id),
 p AS (SELECT file_id, phash FROM feat JOIN cur ON cur.id = file_id WHERE phash IS NOT NULL),
 e AS (SELECT x.file_id u, y.file_id v FROM gm x JOIN gm y USING (group_id) WHERE x.file_id <> y.file_id
   UNION SELECT x.file_id, y.file_id FROM p x JOIN p y ON x.file_id <> y.file_id AND bit_count(xor(x.phash, y.phash)) <= 6),
