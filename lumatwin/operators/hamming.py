@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumatwin.functions.hashes import hamming
+from lumatwin.functions.media import char_distance
 
 
 def plan(radius: int) -> tuple[int, int]:
@@ -57,3 +58,17 @@ def probe(values: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     right = windows(values.select("value").where("value IS NOT NULL").distinct(), "value", radius)
     distance = hamming(F.col("query"), F.col("value"))
     return left.join(right, "window").where(distance <= radius).select("query", "value", distance.alias("distance")).distinct()
+
+
+def near_texts(rows: DataFrame, most: int, length: int) -> DataFrame:
+    """(a, b, distance), a < b: ids of rows(id, text) whose texts of one length differ in at most ``most`` characters.
+
+    Texts are cut into most + 1 runs of characters, one of which is equal in two such texts. Other lengths and nulls match nothing.
+    """
+    cuts = [length * k // (most + 1) for k in range(most + 2)]
+    keys = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("text", a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    keyed = rows.where(F.length("text") == length).select("id", "text", F.explode(keys).alias("window"))
+    a, b = (keyed.select("window", F.col("id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
+    distance = char_distance(F.col("ta"), F.col("tb"))
+    met = a.join(b, "window").where("a < b").select("a", "b", "ta", "tb").distinct()
+    return met.select("a", "b", distance.alias("distance")).where(F.col("distance") <= most)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumatwin.functions import media
 from lumatwin.functions.hashes import hamming, hash_long, hex_digits, hex_distance, similarity_score
 from lumatwin.operators import grouping
-from lumatwin.operators.hamming import near_values, probe
+from lumatwin.operators.hamming import near_texts, near_values, probe
 from lumatwin.plans import sqltext as S
 from lumatwin.tables import current_features, current_files, table
 
@@ -157,6 +157,24 @@ def dims_compatible(spark, d):
     return pairs.select("group_id", "file_id_a", "file_id_b", fits.alias("dims_fit"), media.times_close(F.col("exif_dt_a"), F.col("exif_dt_b")).alias("times_fit"))
 
 
+def tuner_groups(spark, d):
+    """Greedy groups of files whose dhash texts differ in at most 5 characters and whose sizes, where both are known, by at most a tenth."""
+    rows = current_features(spark, d, ["file_id", "feature_ver", "dhash"]).select("file_id", hex_digits(F.col("dhash"), 16).alias("text"))
+    sized = current_files(spark, d, ["id", "last_seen_at", "size"]).select(F.col("id").alias("file_id"), "size")
+    near = near_texts(rows.select(F.col("file_id").alias("id"), "text"), 5, 16)
+    side = lambda n: sized.select(F.col("file_id").alias(n), F.col("size").alias(f"s{n}"))
+    edges = near.join(side("a"), "a").join(side("b"), "b").where(F.coalesce(media.size_ratio(F.col("sa"), F.col("sb")) <= 0.1, F.lit(True)))
+    return grouping.leader_groups(spark, edges.select("a", "b", "distance")).select("leader", "file_id", "distance")
+
+
+def neighbours_of_batch(spark, d):
+    """For every file of the last batch, the files near its phash: one join for the whole set."""
+    rows = current_features(spark, d, ["file_id", "feature_ver", "phash"]).select("file_id", hash_long(F.col("phash")).alias("value")).where("value IS NOT NULL")
+    asked = rows.join(table(spark, d, "batch_items").where("batch_no = 6").select("file_id").distinct(), "file_id", "left_semi").select(F.col("file_id").alias("asked"), F.col("value").alias("query"))
+    near = probe(rows.select("value"), asked.select("query"), grouping.RADIUS["Balanced"])
+    return near.join(asked, "query").join(rows, "value").where("asked <> file_id").select("asked", "file_id", "distance")
+
+
 def size_groups(spark, d):
     """Greedy groups of documents of equal source whose lengths differ by at most 0.1 percent."""
     docs = table(spark, d, "documents").where("n_chars > 0").select(F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("size"))
@@ -178,6 +196,7 @@ def queries() -> dict:
         "a03_hash_group_counts": hash_group_counts, "j08_near_pairs_r6": near_pairs(6), "j08_near_pairs_r8": near_pairs(8), "j08_near_pairs_r12": near_pairs(12), "j09_near_pairs_multi": near_pairs_multi, "f02_similarity_score": similarity,
         "j11_similar_by_hash": similar_by_hash, "f01_hamming_texts": hamming_texts, "p11_hash_similar": hash_similar, "g01_near_groups_r8": near_groups_r8, "g01_near_groups_strict_r6": near_groups_strict, "g03_two_tier": two_tier,
         "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups,
+        "j16_tuner_groups": tuner_groups, "j10_neighbours_of_batch": neighbours_of_batch,
     }
 
 
@@ -232,6 +251,10 @@ f AS (SELECT v, min(d) d FROM (SELECT a v, d FROM p UNION ALL SELECT b, d FROM p
 SELECT r::INT radius, (SELECT count(*) FROM p WHERE d <= r) pairs, (SELECT count(*) FROM f WHERE d <= r) "values" FROM range(13) t(r)""",
         "p09_dims_compatible": f"""WITH {S.CURRENT}, m AS (SELECT DISTINCT group_id, file_id FROM group_members), r AS (SELECT m.group_id, m.file_id, dims_w, dims_h, CASE WHEN exif_dt <> 0 AND NOT isnan(exif_dt) THEN exif_dt END dt FROM m JOIN cur ON cur.id = m.file_id)
 SELECT x.group_id, x.file_id file_id_a, y.file_id file_id_b, {S.compatible("x", "y")} dims_fit, coalesce(abs(x.dt - y.dt) <= 60, true) times_fit FROM r x JOIN r y ON x.group_id = y.group_id AND x.file_id < y.file_id""",
+        "j16_tuner_groups": f"""WITH RECURSIVE {S.CURRENT}, f AS (SELECT file_id, size, {S.digits("dhash", 16)} t FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY feature_ver DESC) rn FROM features) ft JOIN cur ON cur.id = ft.file_id WHERE rn = 1),
+p AS (SELECT x.file_id a, y.file_id b, x.size sa, y.size sb, hamming(x.t, y.t) distance FROM f x JOIN f y ON x.file_id < y.file_id WHERE x.t IS NOT NULL AND y.t IS NOT NULL),
+e AS (SELECT a, b, distance FROM p WHERE distance <= 5 AND (coalesce(sa, 0) <= 0 OR coalesce(sb, 0) <= 0 OR abs(sa - sb) / greatest(sa, sb) <= 0.1)), {S.leaders("e")} SELECT leader, file_id, distance FROM grp""",
+        "j10_neighbours_of_batch": f"""WITH {S.FEATURES}, w AS (SELECT file_id, phash FROM feat WHERE phash IS NOT NULL) SELECT x.file_id asked, y.file_id, bit_count(xor(x.phash, y.phash)) distance FROM w x JOIN w y ON x.file_id <> y.file_id AND {S.near("x.phash", "y.phash", 8)} WHERE x.file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)""",
         "g02_size_groups": f"""WITH RECURSIVE e AS (SELECT x.doc_id a, y.doc_id b, 0 distance FROM documents x JOIN documents y ON x.source = y.source AND x.doc_id < y.doc_id AND x.n_chars > 0 AND y.n_chars > 0 AND abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars) <= 0.001),
 {S.leaders("e")} SELECT leader, file_id doc_id FROM grp""",
     }

@@ -58,3 +58,22 @@ def test_probe(spark):
 def test_empty(spark):
     assert near_values(spark.createDataFrame([], "value long"), 6).count() == 0
     assert spark.createDataFrame([(None,)], "t string").select(hash_long(F.col("t")).alias("h")).first().h is None
+
+
+def test_near_texts(spark):
+    from lumatwin.operators.hamming import near_texts
+
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcd") for _ in range(8)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(100, None), (101, "abc"), (102, base[0])]
+    got = {(r.a, r.b, r.distance) for r in near_texts(spark.createDataFrame(rows, "id long, text string"), 3, 8).collect()}
+    differ = lambda x, y: sum(p != q for p, q in zip(x, y))
+    known = [(k, t) for k, t in rows if t and len(t) == 8]
+    assert got == {(i, j, differ(x, y)) for i, x in known for j, y in known if i < j and differ(x, y) <= 3}
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert {"tier", "group_no", "file_id", "role", "confidence"} == set(entry.entry(spark).columns) and entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
