@@ -56,6 +56,20 @@ class HistoryIndex:
         rows.write.bucketBy(self.buckets, "window").sortBy("window").option("path", at).format("parquet").saveAsTable(name)
         return Run(name, at, level)
 
+    def manifest(self) -> dict:
+        """What open() needs to go on with the runs in another session."""
+        return {"radius": self.radius, "fan": self.fan, "buckets": self.buckets, "runs": [(r.path, r.level) for r in self.runs]}
+
+    @classmethod
+    def open(cls, spark: SparkSession, manifest: dict) -> HistoryIndex:
+        """The index of a manifest. Its runs are read where they lie; the first one that merges or closes them takes them over."""
+        index = cls(spark, manifest["radius"], manifest["fan"], manifest["buckets"])
+        for path, level in manifest["runs"]:
+            name = f"run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} (`window` BIGINT, value BIGINT) USING parquet CLUSTERED BY (`window`) SORTED BY (`window`) INTO {index.buckets} BUCKETS LOCATION '{path}'")
+            index.runs.append(Run(name, path, level))
+        return index
+
     def _drop(self, run: Run) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
         self.stage.delete(run.path)

@@ -62,6 +62,18 @@ def test_runs_are_merged(spark):
     assert not index.runs
 
 
+def test_runs_are_opened_again(spark):
+    df = lambda *v: spark.createDataFrame([(x,) for x in v], "value long")
+    index = history.HistoryIndex(spark, fan=3, buckets=4)
+    index.load(df(0, 7 << 20))
+    index.add(df(1, 1 << 40))
+    again = history.HistoryIndex.open(spark, index.manifest())
+    assert {tuple(r) for r in again.add(df(3)).collect()} == {(3, 0), (3, 1), (3, 1 << 40), (3, 7 << 20)}
+    plan = spark.table(again.runs[0].table).join(spark.table(again.runs[1].table).hint("shuffle_hash"), "window")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # same buckets: nothing is shuffled
+    again.close()
+
+
 def brute_neighbours(rows, k, radius):
     out = set()
     for i, *x in rows:
