@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 
 from lumatwin.functions.hashes import hamming
 from lumatwin.functions.media import char_distance
+from lumatwin.stage import Stage
+
+
+#: Numbers of one window above which it's split.
+CROWD = 4096
 
 
 def plan(radius: int) -> tuple[int, int]:
@@ -21,6 +26,20 @@ def plan(radius: int) -> tuple[int, int]:
     return radius + 2, 2
 
 
+def interleaved(value: Column, radius: int) -> Column:
+    """The bits of a number in another order: first every n-th one, then every n-th from the second on ..., n being the number of blocks.
+
+    A block of the new order holds a bit or two of every block of the old one.
+    """
+    n = plan(radius)[0]
+    order = [b for start in range(n) for b in range(start, 64, n)]
+    bit = lambda k: F.shiftleft(F.shiftrightunsigned(value, 63 - order[k]).bitwiseAND(F.lit(1).cast("long")), 63 - k)
+    out = bit(0)
+    for k in range(1, 64):
+        out = out.bitwiseOR(bit(k))
+    return out
+
+
 def window_keys(value: Column, radius: int) -> Column:
     """Array of the keys of a 64-bit number; the number of the combination stands in the upper bits."""
     blocks, free = plan(radius)
@@ -44,12 +63,22 @@ def windows(values: DataFrame, column: str, radius: int) -> DataFrame:
 def near_values(values: DataFrame, radius: int, column: str = "value") -> DataFrame:
     """Pairs (a, b, distance), a < b, of the different 64-bit numbers of a column that differ in at most radius bits.
 
-    Nulls take no part and repeated numbers count once. Empty input gives an empty result.
+    Nulls take no part and repeated numbers count once. Empty input gives an empty result. A window that holds more than
+    CROWD numbers is split by the windows of its numbers with their bits in another order, which as surely have one in common for
+    each near pair; so a window with a third of all numbers isn't compared as a whole.
     """
-    keyed = windows(values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "value", radius)
-    a, b = keyed.select("window", F.col("value").alias("a")), keyed.select("window", F.col("value").alias("b"))
+    stage = Stage(values.sparkSession, "near")
+    different = stage.write(values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "values")
+    keyed = windows(different, "value", radius)
+    crowded = stage.write(keyed.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("window"), "crowded")
+    rows, keys = keyed, ["window"]
+    if not crowded.isEmpty():
+        light = keyed.join(crowded, "window", "left_anti").select("window", F.lit(-1).cast("long").alias("inner"), "value")
+        turned = keyed.join(crowded, "window", "left_semi").withColumn("turned", interleaved(F.col("value"), radius))
+        rows, keys = light.union(turned.select("window", F.explode(window_keys(F.col("turned"), radius)).alias("inner"), "value")), ["window", "inner"]
+    a, b = (rows.select(*keys, F.col("value").alias(n)) for n in "ab")
     distance = hamming(F.col("a"), F.col("b"))
-    return a.join(b, "window").where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    return a.join(b, keys).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def probe(values: DataFrame, queries: DataFrame, radius: int) -> DataFrame:

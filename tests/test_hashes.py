@@ -48,6 +48,21 @@ def test_near_values_against_brute_force(spark, radius):
     assert plan(radius)[0] - radius == plan(radius)[1]
 
 
+@pytest.mark.parametrize("radius", [0, 6, 12])
+def test_crowded_windows(spark, monkeypatch, radius):
+    from lumatwin.operators import hamming
+
+    monkeypatch.setattr(hamming, "CROWD", 5)
+    rng = random.Random(radius)
+    values = clustered(120, 1) + [0xABCD_EF01_2345_0000 | rng.getrandbits(16) for _ in range(60)] + [(0x1234 << 48) | rng.getrandbits(48) for _ in range(60)]
+    df = spark.createDataFrame([(signed(v),) for v in values], "value long")
+    expected = {tuple(sorted((signed(a), signed(b)))) for a in values for b in values if a != b and bin(a ^ b).count("1") <= radius}
+    got = [(r.a, r.b) for r in near_values(df, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    order = [r.t for r in spark.createDataFrame([(signed(1 << k),) for k in range(64)], "v long").select(hamming.interleaved(F.col("v"), radius).alias("t")).collect()]
+    assert sorted(x & (2**64 - 1) for x in order) == [1 << k for k in range(64)]
+
+
 def test_probe(spark):
     values = spark.createDataFrame([(signed(int(h, 16) << 32),) for h in ("ff00ff00", "ff00ff01", "ff00ff03", "ff00fe00", "00ff00ff")], "value long")
     asked = spark.createDataFrame([(signed(0xFF00FF00 << 32),)], "query long")
