@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatwin.functions.hashes import hamming
+from lumatwin.operators import hamming as hamming_join
 from lumatwin.operators.hamming import windows
 from lumatwin.stage import Stage
 
 
 @dataclass
 class Run:
-    """A table (window, value) in buckets of windows, sorted within each."""
+    """A table (window, value) in buckets of windows, sorted within each; crowded: its windows of more than hamming.CROWD values, if there are some."""
 
     table: str
     path: str
     level: int
+    crowded: DataFrame | None = None
 
 
 @dataclass
@@ -54,7 +56,15 @@ class HistoryIndex:
         name, at = f"run_{uuid.uuid4().hex}", self.stage.path("run")
         rows = keyed.select("window", "value").repartition(self.buckets, "window")
         rows.write.bucketBy(self.buckets, "window").sortBy("window").option("path", at).format("parquet").saveAsTable(name)
-        return Run(name, at, level)
+        return Run(name, at, level, self._crowded(name))
+
+    def _crowded(self, name: str) -> DataFrame | None:
+        """The crowded windows of a run: counted within its buckets, and only if it has enough rows for one."""
+        rows = self.spark.table(name)
+        if rows.count() <= hamming_join.CROWD:
+            return None
+        found = self.stage.write(rows.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > hamming_join.CROWD).select("window"), "crowded")
+        return None if found.isEmpty() else found
 
     def manifest(self) -> dict:
         """What open() needs to go on with the runs in another session."""
@@ -67,7 +77,7 @@ class HistoryIndex:
         for path, level in manifest["runs"]:
             name = f"run_{uuid.uuid4().hex}"
             spark.sql(f"CREATE TABLE {name} (`window` BIGINT, value BIGINT) USING parquet CLUSTERED BY (`window`) SORTED BY (`window`) INTO {index.buckets} BUCKETS LOCATION '{path}'")
-            index.runs.append(Run(name, path, level))
+            index.runs.append(Run(name, path, level, index._crowded(name)))
         return index
 
     def _drop(self, run: Run) -> None:
@@ -86,7 +96,13 @@ class HistoryIndex:
         near = []
         for run in self.runs:
             old = self.spark.table(run.table).select("window", F.col("value").alias("b"))
-            near.append(old.join(fresh.hint("shuffle_hash"), "window").where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= self.radius)).select("a", "b"))
+            met = []
+            if run.crowded is not None:  # by the windows of another order of bits within these windows
+                inner = lambda df, n: df.join(run.crowded, "window", "left_semi").withColumn("_turned", hamming_join.interleaved(F.col(n), self.radius)).select("window", n, F.explode(hamming_join.window_keys(F.col("_turned"), self.radius)).alias("inner"))  # noqa: E731, B023
+                met.append(inner(old, "b").join(inner(fresh, "a"), ["window", "inner"]).select("a", "b"))
+                old = old.join(run.crowded, "window", "left_anti")
+            met.append(old.join(fresh.hint("shuffle_hash"), "window").select("a", "b"))
+            near += [m.where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= self.radius)) for m in met]
         found = self.stage.write(reduce(DataFrame.union, near).distinct(), "near")
         self._compact()
         return found

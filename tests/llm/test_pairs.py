@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lumatwin.llm import codes, components, history
+from lumatwin.operators import hamming
 from lumatwin.stage import Stage
 
 
@@ -34,8 +35,10 @@ def collection(n: int, seed: int):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batches(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(1, None), (2, 3)])
+def test_batches(spark, monkeypatch, seed, crowd):
+    if crowd:  # nearly every window is crowded then
+        monkeypatch.setattr(hamming, "CROWD", crowd)
     rows = collection(150, seed)
     df = spark.createDataFrame(rows, "file_id long, batch_no int, sha256 string, phash long")
     near = lambda a, b: a is not None and b is not None and bin((a ^ b) & (2**64 - 1)).count("1") <= 6
