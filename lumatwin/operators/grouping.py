@@ -52,13 +52,11 @@ def near_edges(files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash"
     """
     if exact is not None:
         files = files.join(exact.select("file_id").distinct(), "file_id", "left_anti")
-    parts = []
-    for h in hashes:
-        at = files.select("file_id", hash_long(F.col(h)).alias("v")).where("v IS NOT NULL")
-        pairs = near_values(at.select("v"), radius, "v")
-        a, b = at.select(F.col("file_id").alias("x"), F.col("v").alias("a")), at.select(F.col("file_id").alias("y"), F.col("v").alias("b"))
-        parts.append(pairs.join(a, "a").join(b, "b").select("x", "y", "distance"))
-        parts.append(a.join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(0).alias("distance")))
+    kinds = F.array(*[F.struct(F.lit(h).alias("kind"), hash_long(F.col(h)).alias("v")) for h in hashes])
+    at = files.select("file_id", F.explode(kinds).alias("h")).select("file_id", "h.kind", "h.v").where("v IS NOT NULL")
+    a, b = at.select("kind", F.col("file_id").alias("x"), F.col("v").alias("a")), at.select("kind", F.col("file_id").alias("y"), F.col("v").alias("b"))
+    near = near_values(at.select("kind", "v"), radius, "v", by=("kind",))
+    parts = [near.join(a, ["kind", "a"]).join(b, ["kind", "b"]).select("x", "y", "distance"), a.join(b.withColumnRenamed("b", "a"), ["kind", "a"]).where("x < y").select("x", "y", F.lit(0).alias("distance"))]
     best = reduce(DataFrame.union, parts).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
     side = lambda n: files.select(F.col("file_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("dims_w", "dims_h", "exif_dt")])
     rows = best.join(side("a"), "a").join(side("b"), "b")

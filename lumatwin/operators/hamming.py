@@ -60,25 +60,26 @@ def windows(values: DataFrame, column: str, radius: int) -> DataFrame:
     return values.withColumn("window", F.explode(window_keys(F.col(column), radius)))
 
 
-def near_values(values: DataFrame, radius: int, column: str = "value") -> DataFrame:
-    """Pairs (a, b, distance), a < b, of the different 64-bit numbers of a column that differ in at most radius bits.
+def near_values(values: DataFrame, radius: int, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (*by, a, b, distance), a < b, of the different 64-bit numbers of a column that differ in at most radius bits.
 
-    Nulls take no part and repeated numbers count once. Empty input gives an empty result. A window that holds more than
+    by: columns in which both numbers must be equal, too: several kinds of numbers are searched in one pass. Nulls take no part and repeated numbers count once. Empty input gives an empty result. A window that holds more than
     CROWD numbers is split by the windows of its numbers with their bits in another order, which as surely have one in common for
     each near pair; so a window with a third of all numbers isn't compared as a whole.
     """
     stage = Stage(values.sparkSession, "near")
-    different = stage.write(values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "values")
-    keyed = windows(different, "value", radius)
-    crowded = stage.write(keyed.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("window"), "crowded")
-    rows, keys = keyed, ["window"]
+    different = stage.write(values.select(*by, F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "values")
+    keyed, keys = windows(different, "value", radius), [*by, "window"]
+    crowded = stage.write(keyed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*keys), "crowded")
+    rows = keyed
     if not crowded.isEmpty():
-        light = keyed.join(crowded, "window", "left_anti").select("window", F.lit(-1).cast("long").alias("inner"), "value")
-        turned = keyed.join(crowded, "window", "left_semi").withColumn("turned", interleaved(F.col("value"), radius))
-        rows, keys = light.union(turned.select("window", F.explode(window_keys(F.col("turned"), radius)).alias("inner"), "value")), ["window", "inner"]
+        light = keyed.join(crowded, keys, "left_anti").select(*keys, F.lit(-1).cast("long").alias("inner"), "value")
+        turned = keyed.join(crowded, keys, "left_semi").withColumn("turned", interleaved(F.col("value"), radius))
+        rows = light.union(turned.select(*keys, F.explode(window_keys(F.col("turned"), radius)).alias("inner"), "value"))
+        keys = [*keys, "inner"]
     a, b = (rows.select(*keys, F.col("value").alias(n)) for n in "ab")
     distance = hamming(F.col("a"), F.col("b"))
-    return a.join(b, keys).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    return a.join(b, keys).where((F.col("a") < F.col("b")) & (distance <= radius)).select(*by, "a", "b", distance.alias("distance")).distinct()
 
 
 def probe(values: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
