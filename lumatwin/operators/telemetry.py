@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumatwin.operators.ordered import chunked
+from lumatwin.stage import ship
 
 
 def _us():
@@ -62,6 +63,8 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
     """
     import pyarrow as pa
 
+    ship(events.sparkSession)
+
     def run(batches):
         key, recent, since = object(), [], float("-inf")
         for x in batches:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the session's Python workers this package, once: they needn't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumatwin", False):
+        return
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="lumatwin-code-")) / "lumatwin-code.zip"  # read by the driver only, which sends it on
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(Path("lumatwin") / p.relative_to(here)))
+    sc.addPyFile(str(at))
+    sc._lumatwin = True
+
+
 class Stage:
     """Intermediate tables of one operator run; the ones no longer needed are dropped as it goes on."""
 
     def __init__(self, spark: SparkSession, what: str) -> None:
+        ship(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -50,5 +67,6 @@ class Stage:
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """df in at least as many partitions as the session has cores, for work in Python."""
+    ship(df.sparkSession)
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
