@@ -102,3 +102,20 @@ def near_texts(rows: DataFrame, most: int, length: int) -> DataFrame:
     distance = char_distance(F.col("ta"), F.col("tb"))
     met = a.join(b, "window").where("a < b").select("a", "b", "ta", "tb").distinct()
     return met.select("a", "b", distance.alias("distance")).where(F.col("distance") <= most)
+
+
+def near_digits(values: DataFrame, most: int) -> DataFrame:
+    """(a, b, distance), a < b: the different 64-bit numbers of values.value that differ in at most ``most`` of their 16 hexadecimal digits.
+
+    Digits are cut into most + 2 runs, two of which are equal in two such numbers.
+    """
+    cuts = [16 * k // (most + 2) for k in range(most + 3)]
+    part = lambda k: F.shiftrightunsigned("value", 64 - 4 * cuts[k + 1]).bitwiseAND(F.lit((1 << 4 * (cuts[k + 1] - cuts[k])) - 1).cast("long"))
+    keys = [F.struct(F.lit(n).alias("n"), part(i).alias("i"), part(j).alias("j")) for n, (i, j) in enumerate(combinations(range(most + 2), 2))]
+    different = Stage(values.sparkSession, "digits").write(values.select("value").where("value IS NOT NULL").distinct(), "values")
+    keyed = different.select("value", F.explode(F.array(*keys)).alias("k")).select("value", "k.*")
+    a, b = (keyed.select("n", "i", "j", F.col("value").alias(x)) for x in "ab")
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    distance = F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+    return a.join(b, ["n", "i", "j"]).where((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()

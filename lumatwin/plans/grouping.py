@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumatwin.functions import media
 from lumatwin.functions.hashes import hamming, hash_long, hex_digits, hex_distance, similarity_score
-from lumatwin.operators import grouping
+from lumatwin.operators import greedy, grouping
 from lumatwin.operators.hamming import near_texts, near_values, probe
 from lumatwin.plans import sqltext as S
 from lumatwin.tables import current_features, current_files, table
@@ -179,6 +179,12 @@ def size_groups(spark, d):
     return grouping.leader_groups(spark, size_edges(docs, 0.001)).select("leader", F.col("file_id").alias("doc_id"))
 
 
+def file_size_groups(spark, d):
+    """Greedy groups of the current files whose sizes differ by at most a tenth, whatever their status; files without a size are in none."""
+    files = current_files(spark, d, ["id", "last_seen_at", "size"]).where("size > 0").select("id", "size")
+    return greedy.similar_groups(spark, files, 0.1).select("leader", F.col("id").alias("file_id"))
+
+
 def size_edges(rows: DataFrame, ratio: float) -> DataFrame:
     """(a, b, distance) of rows(id, source, size) of one source with media.size_ratio at most ratio: a range join on bins of the logarithm."""
     width = F.lit(-1.0) * F.log(F.lit(1.0 - ratio))
@@ -193,7 +199,7 @@ def queries() -> dict:
         "s09_load_records": load_records, "s10_index_rows": index_rows, "s10_index_stats": index_stats, "a01_exact_groups": exact_groups, "a01_exact_no_sha": exact_no_sha, "w01_original_selection": original_selection,
         "a03_hash_group_counts": hash_group_counts, "j08_near_pairs_r6": near_pairs(6), "j08_near_pairs_r8": near_pairs(8), "j08_near_pairs_r12": near_pairs(12), "j09_near_pairs_multi": near_pairs_multi, "f02_similarity_score": similarity,
         "j11_similar_by_hash": similar_by_hash, "f01_hamming_texts": hamming_texts, "p11_hash_similar": hash_similar, "g01_near_groups_r8": near_groups_r8, "g01_near_groups_strict_r6": near_groups_strict, "g03_two_tier": two_tier,
-        "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups,
+        "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups, "g02_file_size_groups": file_size_groups,
         "j16_tuner_groups": tuner_groups, "j10_neighbours_of_batch": neighbours_of_batch,
     }
 
@@ -255,4 +261,9 @@ e AS (SELECT a, b, distance FROM p WHERE distance <= 5 AND (coalesce(sa, 0) <= 0
         "j10_neighbours_of_batch": f"""WITH {S.FEATURES}, w AS (SELECT file_id, phash FROM feat WHERE phash IS NOT NULL) SELECT x.file_id asked, y.file_id, bit_count(xor(x.phash, y.phash)) distance FROM w x JOIN w y ON x.file_id <> y.file_id AND {S.near("x.phash", "y.phash", 8)} WHERE x.file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)""",
         "g02_size_groups": f"""WITH RECURSIVE e AS (SELECT x.doc_id a, y.doc_id b, 0 distance FROM documents x JOIN documents y ON x.source = y.source AND x.doc_id < y.doc_id AND x.n_chars > 0 AND y.n_chars > 0 AND abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars) <= 0.001),
 {S.leaders("e")} SELECT leader, file_id doc_id FROM grp""",
+        "g02_file_size_groups": f"""WITH RECURSIVE {S.CURRENT}, n AS (SELECT id, size, row_number() OVER (ORDER BY id) rn FROM cur WHERE size > 0),
+st AS (SELECT 0::BIGINT rn, []::BIGINT[] led UNION ALL SELECT n.rn, CASE WHEN len(list_filter(led, lambda l: abs(l - size) / greatest(l, size) <= 0.1)) > 0 THEN led ELSE list_append(led, size) END FROM st JOIN n ON n.rn = st.rn + 1),
+ld AS (SELECT min(id) leader, size FROM n WHERE size IN (SELECT unnest(led) FROM st WHERE rn = (SELECT max(rn) FROM st)) GROUP BY size),
+g AS (SELECT min(leader) leader, n.id file_id FROM n JOIN ld ON abs(n.size - ld.size) / greatest(n.size, ld.size) <= 0.1 WHERE n.id NOT IN (SELECT leader FROM ld) GROUP BY n.id)
+SELECT * FROM g UNION ALL SELECT DISTINCT leader, leader FROM g""",
     }
