@@ -165,6 +165,13 @@ def tuner_groups(spark, d):
     return grouping.leader_groups(spark, edges.select("a", "b", "distance")).select("leader", "file_id", "distance")
 
 
+def tuner_groups_all(spark, d):
+    """Greedy groups of all current files as the tuner judges them: phash within 5 characters and sizes within a tenth, each only where both files have one."""
+    features = current_features(spark, d, ["file_id", "feature_ver", "phash"]).select(F.col("file_id").alias("id"), hash_long(F.col("phash")).alias("value"))
+    files = current_files(spark, d, ["id", "last_seen_at", "size"]).select("id", "size").join(features, "id", "left")
+    return greedy.similar_groups(spark, files, 0.1, 5).select("leader", F.col("id").alias("file_id"))
+
+
 def neighbours_of_batch(spark, d):
     """For every file of the last batch, the files near its phash: one join for the whole set."""
     rows = current_features(spark, d, ["file_id", "feature_ver", "phash"]).select("file_id", hash_long(F.col("phash")).alias("value")).where("value IS NOT NULL")
@@ -200,7 +207,7 @@ def queries() -> dict:
         "a03_hash_group_counts": hash_group_counts, "j08_near_pairs_r6": near_pairs(6), "j08_near_pairs_r8": near_pairs(8), "j08_near_pairs_r12": near_pairs(12), "j09_near_pairs_multi": near_pairs_multi, "f02_similarity_score": similarity,
         "j11_similar_by_hash": similar_by_hash, "f01_hamming_texts": hamming_texts, "p11_hash_similar": hash_similar, "g01_near_groups_r8": near_groups_r8, "g01_near_groups_strict_r6": near_groups_strict, "g03_two_tier": two_tier,
         "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups, "g02_file_size_groups": file_size_groups,
-        "j16_tuner_groups": tuner_groups, "j10_neighbours_of_batch": neighbours_of_batch,
+        "j16_tuner_groups": tuner_groups, "j16_tuner_groups_all": tuner_groups_all, "j10_neighbours_of_batch": neighbours_of_batch,
     }
 
 
@@ -258,6 +265,9 @@ SELECT x.group_id, x.file_id file_id_a, y.file_id file_id_b, {S.compatible("x",
         "j16_tuner_groups": f"""WITH RECURSIVE {S.CURRENT}, f AS (SELECT file_id, size, {S.digits("dhash", 16)} t FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY feature_ver DESC) rn FROM features) ft JOIN cur ON cur.id = ft.file_id WHERE rn = 1),
 p AS (SELECT x.file_id a, y.file_id b, x.size sa, y.size sb, hamming(x.t, y.t) distance FROM f x JOIN f y ON x.file_id < y.file_id WHERE x.t IS NOT NULL AND y.t IS NOT NULL),
 e AS (SELECT a, b, distance FROM p WHERE distance <= 5 AND (coalesce(sa, 0) <= 0 OR coalesce(sb, 0) <= 0 OR abs(sa - sb) / greatest(sa, sb) <= 0.1)), {S.leaders("e")} SELECT leader, file_id, distance FROM grp""",
+        "j16_tuner_groups_all": f"""WITH RECURSIVE {S.CURRENT}, f AS (SELECT cur.id file_id, cur.size, t FROM cur LEFT JOIN (SELECT file_id, {S.digits("phash", 16)} t FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY feature_ver DESC) rn FROM features) WHERE rn = 1) ft ON ft.file_id = cur.id),
+e AS (SELECT x.file_id a, y.file_id b, 0 distance FROM f x JOIN f y ON x.file_id < y.file_id WHERE coalesce(hamming(x.t, y.t) <= 5, true) AND (coalesce(x.size, 0) <= 0 OR coalesce(y.size, 0) <= 0 OR abs(x.size - y.size) / greatest(x.size, y.size) <= 0.1)),
+{S.leaders("e")} SELECT leader, file_id FROM grp""",
         "j10_neighbours_of_batch": f"""WITH {S.FEATURES}, w AS (SELECT file_id, phash FROM feat WHERE phash IS NOT NULL) SELECT x.file_id asked, y.file_id, bit_count(xor(x.phash, y.phash)) distance FROM w x JOIN w y ON x.file_id <> y.file_id AND {S.near("x.phash", "y.phash", 8)} WHERE x.file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)""",
         "g02_size_groups": f"""WITH RECURSIVE e AS (SELECT x.doc_id a, y.doc_id b, 0 distance FROM documents x JOIN documents y ON x.source = y.source AND x.doc_id < y.doc_id AND x.n_chars > 0 AND y.n_chars > 0 AND abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars) <= 0.001),
 {S.leaders("e")} SELECT leader, file_id doc_id FROM grp""",

@@ -37,3 +37,26 @@ def test_size_groups_at_the_edge(spark):
     items = [(k, rng.choice([90, 100, 810, 900, 1000, 10**9, rng.randrange(1, 3000)])) for k in range(1, 200)]
     got = greedy.similar_groups(spark, spark.createDataFrame(items, "id long, size long"), 0.1)
     assert {tuple(r) for r in got.collect()} == greedy_groups(items, sizes_fit)
+
+
+# --- sizes and hashes (J16) ---
+
+
+def tuner_fits(x, y):
+    if (x[1] or 0) > 0 and (y[1] or 0) > 0 and not sizes_fit(x, y):
+        return False
+    digits = lambda v: f"{v % 2**64:016x}"
+    return x[2] is None or y[2] is None or sum(a != b for a, b in zip(digits(x[2]), digits(y[2]))) <= 5
+
+
+def test_tuner_takes_items_without_a_hash_or_size(spark):
+    rng = random.Random(3)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    base, items = [rng.getrandbits(64) for _ in range(12)], []
+    for k in range(1, 250):
+        near = sum(rng.randrange(16) << 4 * d for d in rng.sample(range(16), rng.randrange(7)))
+        size = rng.choice([0, None, 90, 100]) if k > 60 and rng.random() < 0.1 else rng.randrange(1, 10**5)
+        items.append((k, size, None if rng.random() < 0.15 else signed(rng.choice(base) ^ near)))
+    got = {tuple(r) for r in greedy.similar_groups(spark, spark.createDataFrame(items, "id long, size long, value long"), 0.1, 5).collect()}
+    assert got == greedy_groups(items, tuner_fits)
+    assert {k for k, _, v in items if v is None} & {k for _, k in got}
