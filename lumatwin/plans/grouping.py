@@ -186,6 +186,25 @@ def size_groups(spark, d):
     return grouping.leader_groups(spark, size_edges(docs, 0.001)).select("leader", F.col("file_id").alias("doc_id"))
 
 
+def indexed(spark, d):
+    """The hashes of all files with a phash, as numbers."""
+    return current_features(spark, d, ["file_id", "feature_ver", *HASHES]).select("file_id", *[hash_long(F.col(h)).alias(h) for h in HASHES]).where("phash IS NOT NULL")
+
+
+def neighbours_any_hash(spark, d):
+    """For every file of the last batch and every file whose id is divisible by 100, the indexed files near by any hash, with the distance of each hash that is, and the smallest."""
+    rows = indexed(spark, d)
+    last = table(spark, d, "batch_items").where("batch_no = 6").select("file_id")
+    asked = rows.join(last.union(rows.where("file_id % 100 = 0").select("file_id")).distinct(), "file_id", "left_semi")
+    parts = []
+    for h in HASHES:
+        near = probe(rows.select(F.col(h).alias("value")), asked.select(F.col(h).alias("query")), grouping.RADIUS["Balanced"])
+        met = near.join(asked.select(F.col("file_id").alias("asked"), F.col(h).alias("query")), "query").join(rows.select("file_id", F.col(h).alias("value")), "value")
+        parts.append(met.where("asked <> file_id").select("asked", "file_id", F.lit(h).alias("hash"), "distance"))
+    of = lambda h: F.min(F.when(F.col("hash") == h, F.col("distance"))).alias(h)
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("asked", "file_id").agg(*[of(h) for h in HASHES], F.min("distance").alias("min_distance"))
+
+
 def file_size_groups(spark, d):
     """Greedy groups of the current files whose sizes differ by at most a tenth, whatever their status; files without a size are in none."""
     files = current_files(spark, d, ["id", "last_seen_at", "size"]).where("size > 0").select("id", "size")
@@ -207,7 +226,7 @@ def queries() -> dict:
         "a03_hash_group_counts": hash_group_counts, "j08_near_pairs_r6": near_pairs(6), "j08_near_pairs_r8": near_pairs(8), "j08_near_pairs_r12": near_pairs(12), "j09_near_pairs_multi": near_pairs_multi, "f02_similarity_score": similarity,
         "j11_similar_by_hash": similar_by_hash, "f01_hamming_texts": hamming_texts, "p11_hash_similar": hash_similar, "g01_near_groups_r8": near_groups_r8, "g01_near_groups_strict_r6": near_groups_strict, "g03_two_tier": two_tier,
         "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups, "g02_file_size_groups": file_size_groups,
-        "j16_tuner_groups": tuner_groups, "j16_tuner_groups_all": tuner_groups_all, "j10_neighbours_of_batch": neighbours_of_batch,
+        "j16_tuner_groups": tuner_groups, "j16_tuner_groups_all": tuner_groups_all, "j10_neighbours_of_batch": neighbours_of_batch, "j10_neighbours_any_hash": neighbours_any_hash,
     }
 
 
@@ -269,6 +288,9 @@ e AS (SELECT a, b, distance FROM p WHERE distance <= 5 AND (coalesce(sa, 0) <= 0
 e AS (SELECT x.file_id a, y.file_id b, 0 distance FROM f x JOIN f y ON x.file_id < y.file_id WHERE coalesce(hamming(x.t, y.t) <= 5, true) AND (coalesce(x.size, 0) <= 0 OR coalesce(y.size, 0) <= 0 OR abs(x.size - y.size) / greatest(x.size, y.size) <= 0.1)),
 {S.leaders("e")} SELECT leader, file_id FROM grp""",
         "j10_neighbours_of_batch": f"""WITH {S.FEATURES}, w AS (SELECT file_id, phash FROM feat WHERE phash IS NOT NULL) SELECT x.file_id asked, y.file_id, bit_count(xor(x.phash, y.phash)) distance FROM w x JOIN w y ON x.file_id <> y.file_id AND {S.near("x.phash", "y.phash", 8)} WHERE x.file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)""",
+        "j10_neighbours_any_hash": f"""WITH {S.FEATURES}, w AS (SELECT * FROM feat WHERE phash IS NOT NULL), q AS (SELECT * FROM w WHERE file_id % 100 = 0 OR file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)),
+p AS (SELECT x.file_id asked, y.file_id, {", ".join(f"CASE WHEN {S.near(f'x.{h}', f'y.{h}', 8)} THEN bit_count(xor(x.{h}, y.{h})) END {h}" for h in HASHES)} FROM q x JOIN w y ON x.file_id <> y.file_id)
+SELECT *, least(phash, dhash, whash) min_distance FROM p WHERE least(phash, dhash, whash) IS NOT NULL""",
         "g02_size_groups": f"""WITH RECURSIVE e AS (SELECT x.doc_id a, y.doc_id b, 0 distance FROM documents x JOIN documents y ON x.source = y.source AND x.doc_id < y.doc_id AND x.n_chars > 0 AND y.n_chars > 0 AND abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars) <= 0.001),
 {S.leaders("e")} SELECT leader, file_id doc_id FROM grp""",
         "g02_file_size_groups": f"""WITH RECURSIVE {S.CURRENT}, n AS (SELECT id, size, row_number() OVER (ORDER BY id) rn FROM cur WHERE size > 0),

@@ -60,3 +60,21 @@ def test_tuner_takes_items_without_a_hash_or_size(spark):
     got = {tuple(r) for r in greedy.similar_groups(spark, spark.createDataFrame(items, "id long, size long, value long"), 0.1, 5).collect()}
     assert got == greedy_groups(items, tuner_fits)
     assert {k for k, _, v in items if v is None} & {k for _, k in got}
+
+
+# --- neighbours (J10) and radii (I11) ---
+
+
+def tables(spark, to, hashes):
+    spark.createDataFrame([(k, *h, 1) for k, h in hashes.items()], "file_id long, phash string, dhash string, whash string, feature_ver int").write.parquet(f"{to}/features.parquet")
+    spark.createDataFrame([(6, 7)], "batch_no int, file_id long").write.parquet(f"{to}/batch_items.parquet")
+    return str(to)
+
+
+A, B, C = "0123456789abcdef", "fedcba9876543210", "0f1e2d3c4b5a6978"
+
+
+def test_neighbours_by_any_hash(spark, tmp_path):
+    d = tables(spark, tmp_path, {100: (A, A, None), 7: (B, B, B), 8: (C, A[:-1] + "e", None), 9: (A[:-1] + "c", None, B), 10: (None, A, B)})
+    got = {tuple(r) for r in catalog.queries()["j10_neighbours_any_hash"](spark, d).select("asked", "file_id", "phash", "dhash", "whash", "min_distance").collect()}
+    assert got == {(100, 8, None, 1, None, 1), (100, 9, 2, None, None, 2), (7, 9, None, None, 0, 0)}
