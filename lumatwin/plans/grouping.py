@@ -10,6 +10,7 @@ from lumatwin.functions.hashes import hamming, hash_long, hex_digits, hex_distan
 from lumatwin.operators import greedy, grouping
 from lumatwin.operators.hamming import near_texts, near_values, probe
 from lumatwin.plans import sqltext as S
+from lumatwin.stage import Stage
 from lumatwin.tables import current_features, current_files, table
 
 HASHES = ("phash", "dhash", "whash")
@@ -205,6 +206,33 @@ def neighbours_any_hash(spark, d):
     return parts[0].union(parts[1]).union(parts[2]).groupBy("asked", "file_id").agg(*[of(h) for h in HASHES], F.min("distance").alias("min_distance"))
 
 
+def threshold_groups(spark, d):
+    """Pairs of files near by phash, files in them and greedy groups at each radius from 0 to 12; copies of a hash are near at 0.
+
+    Groups go over hashes, each as its first file: copies are taken together. All radii are grouped at once, as files numbered 16 * id + radius.
+    """
+    rows = current_features(spark, d, ["file_id", "feature_ver", "phash"]).select("file_id", hash_long(F.col("phash")).alias("value")).where("value IS NOT NULL")
+    stage = Stage(spark, "sweep")
+    values = stage.write(rows.groupBy("value").agg(F.count("*").alias("n"), F.min("file_id").alias("first")), "values")
+    side = lambda x: values.select(F.col("value").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"first{x}"))
+    near = stage.write(near_values(values, 12).join(side("a"), "a").join(side("b"), "b"), "near")
+    copies = values.where("n > 1")
+    pairs = near.select("distance", (F.col("na") * F.col("nb")).alias("p")).union(copies.select(F.lit(0), (F.col("n") * (F.col("n") - 1) / 2).cast("long")))
+    ends = near.select("distance", F.explode(F.array(F.struct("a", "na"), F.struct(F.col("b").alias("a"), F.col("nb").alias("na")))).alias("e")).select("distance", "e.a", "e.na").union(copies.select(F.lit(0), "value", "n"))
+    first = ends.groupBy("a").agg(F.min("distance").alias("distance"), F.first("na").alias("f"))
+    radius = lambda low: F.explode(F.sequence(low, F.lit(12))).alias("radius")
+    at = lambda x: (F.col(f"first{x}") * 16 + F.col("radius")).alias(x)
+    groups = stage.write(grouping.leader_groups(spark, near.select("firsta", "firstb", "distance", radius(F.col("distance"))).select(at("a"), at("b"), "distance")), "groups")
+    led = groups.where("leader = file_id").select((F.col("leader") % 16).cast("int").alias("radius"))
+    alone = copies.select((F.col("first") * 16).alias("k"), radius(F.lit(0))).withColumn("k", F.col("k") + F.col("radius")).join(groups.select(F.col("file_id").alias("k")), "k", "left_anti").select("radius")
+    zero = F.lit(0).cast("long")
+    parts = [
+        spark.range(13).select(F.col("id").cast("int").alias("radius"), zero.alias("p"), zero.alias("f"), zero.alias("g")), led.union(alone).select("radius", zero, zero, F.lit(1).cast("long")),
+        pairs.groupBy("distance").agg(F.sum("p").alias("p")).select(radius(F.col("distance")), "p", zero, zero), first.groupBy("distance").agg(F.sum("f").alias("f")).select(radius(F.col("distance")), zero, "f", zero),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).groupBy("radius").agg(F.sum("p").alias("pairs"), F.sum("f").alias("files"), F.sum("g").alias("groups"))
+
+
 def file_size_groups(spark, d):
     """Greedy groups of the current files whose sizes differ by at most a tenth, whatever their status; files without a size are in none."""
     files = current_files(spark, d, ["id", "last_seen_at", "size"]).where("size > 0").select("id", "size")
@@ -227,6 +255,7 @@ def queries() -> dict:
         "j11_similar_by_hash": similar_by_hash, "f01_hamming_texts": hamming_texts, "p11_hash_similar": hash_similar, "g01_near_groups_r8": near_groups_r8, "g01_near_groups_strict_r6": near_groups_strict, "g03_two_tier": two_tier,
         "a04_group_summary": group_summary, "a05_group_details": group_details, "i11_threshold_sweep": threshold_sweep, "p09_dims_compatible": dims_compatible, "g02_size_groups": size_groups, "g02_file_size_groups": file_size_groups,
         "j16_tuner_groups": tuner_groups, "j16_tuner_groups_all": tuner_groups_all, "j10_neighbours_of_batch": neighbours_of_batch, "j10_neighbours_any_hash": neighbours_any_hash,
+        "i11_threshold_groups": threshold_groups,
     }
 
 
@@ -291,6 +320,9 @@ e AS (SELECT x.file_id a, y.file_id b, 0 distance FROM f x JOIN f y ON x.file_id
         "j10_neighbours_any_hash": f"""WITH {S.FEATURES}, w AS (SELECT * FROM feat WHERE phash IS NOT NULL), q AS (SELECT * FROM w WHERE file_id % 100 = 0 OR file_id IN (SELECT file_id FROM batch_items WHERE batch_no = 6)),
 p AS (SELECT x.file_id asked, y.file_id, {", ".join(f"CASE WHEN {S.near(f'x.{h}', f'y.{h}', 8)} THEN bit_count(xor(x.{h}, y.{h})) END {h}" for h in HASHES)} FROM q x JOIN w y ON x.file_id <> y.file_id)
 SELECT *, least(phash, dhash, whash) min_distance FROM p WHERE least(phash, dhash, whash) IS NOT NULL""",
+        "i11_threshold_groups": f"""WITH RECURSIVE {S.FEATURES}, w AS (SELECT file_id i, phash v FROM feat WHERE phash IS NOT NULL), p AS (SELECT x.i a, y.i b, bit_count(xor(x.v, y.v)) distance FROM w x JOIN w y ON x.i < y.i AND {S.near("x.v", "y.v", 12)}),
+e AS (SELECT a * 16 + r a, b * 16 + r b, distance FROM p JOIN range(13) t(r) ON distance <= r), {S.leaders("e")}, f AS (SELECT i, min(distance) d FROM (SELECT a i, distance FROM p UNION ALL SELECT b, distance FROM p) GROUP BY i)
+SELECT r::INT radius, (SELECT count(*) FROM p WHERE distance <= r) pairs, (SELECT count(*) FROM f WHERE d <= r) files, (SELECT count(DISTINCT leader) FROM grp WHERE leader % 16 = r) "groups" FROM range(13) t(r)""",
         "g02_size_groups": f"""WITH RECURSIVE e AS (SELECT x.doc_id a, y.doc_id b, 0 distance FROM documents x JOIN documents y ON x.source = y.source AND x.doc_id < y.doc_id AND x.n_chars > 0 AND y.n_chars > 0 AND abs(x.n_chars - y.n_chars) / greatest(x.n_chars, y.n_chars) <= 0.001),
 {S.leaders("e")} SELECT leader, file_id doc_id FROM grp""",
         "g02_file_size_groups": f"""WITH RECURSIVE {S.CURRENT}, n AS (SELECT id, size, row_number() OVER (ORDER BY id) rn FROM cur WHERE size > 0),

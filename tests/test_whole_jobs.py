@@ -78,3 +78,9 @@ def test_neighbours_by_any_hash(spark, tmp_path):
     d = tables(spark, tmp_path, {100: (A, A, None), 7: (B, B, B), 8: (C, A[:-1] + "e", None), 9: (A[:-1] + "c", None, B), 10: (None, A, B)})
     got = {tuple(r) for r in catalog.queries()["j10_neighbours_any_hash"](spark, d).select("asked", "file_id", "phash", "dhash", "whash", "min_distance").collect()}
     assert got == {(100, 8, None, 1, None, 1), (100, 9, 2, None, None, 2), (7, 9, None, None, 0, 0)}
+
+
+def test_radii_count_copies_and_groups(spark, tmp_path):
+    d = tables(spark, tmp_path, {1: (A,) * 3, 2: (A,) * 3, 3: (A[:-1] + "e",) * 3, 4: (B,) * 3, 5: (B,) * 3, 6: (C,) * 3})
+    got = {r.radius: (r.pairs, r["files"], r.groups) for r in catalog.queries()["i11_threshold_groups"](spark, d).collect()}
+    assert got == {0: (2, 4, 2)} | {r: (4, 5, 2) for r in range(1, 13)}
