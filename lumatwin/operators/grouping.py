@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +47,20 @@ def originals(members: DataFrame, files: DataFrame, group: str = "group_no") ->
     return rows.groupBy(group).agg(F.min(original_order()).alias("o")).select(group, F.col("o.file_id").alias("original_id"))
 
 
+def number(files: DataFrame, name: str) -> Column:
+    """A hash column as a number, whether it's one already or a text."""
+    return F.col(name) if files.schema[name].dataType.typeName() == "long" else hash_long(F.col(name))
+
+
 def near_edges(files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash", "dhash", "whash"), exact: DataFrame | None = None, strict: bool = False, tolerance: float = 0.1) -> DataFrame:
     """(a, b, distance), a < b: files near by any of the hashes, with compatible sides; the smallest distance of all hashes.
 
-    files(file_id, dims_w, dims_h, exif_dt and the hashes as texts). exact: files that take no part. strict: capture times at
+    files(file_id, dims_w, dims_h, exif_dt and the hashes as texts or numbers). exact: files that take no part. strict: capture times at
     most a minute apart, too. Unusable hashes match nothing. Copies of one hash are compared once.
     """
     if exact is not None:
         files = files.join(exact.select("file_id").distinct(), "file_id", "left_anti")
-    kinds = F.array(*[F.struct(F.lit(h).alias("kind"), hash_long(F.col(h)).alias("v")) for h in hashes])
+    kinds = F.array(*[F.struct(F.lit(hashes.index(h)).alias("kind"), number(files, h).alias("v")) for h in hashes])
     at = files.select("file_id", F.explode(kinds).alias("h")).select("file_id", "h.kind", "h.v").where("v IS NOT NULL")
     a, b = at.select("kind", F.col("file_id").alias("x"), F.col("v").alias("a")), at.select("kind", F.col("file_id").alias("y"), F.col("v").alias("b"))
     near = near_values(at.select("kind", "v"), radius, "v", by=("kind",))
@@ -66,43 +74,123 @@ def near_edges(files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash"
     return rows.where(keep).select("a", "b", "distance")
 
 
+#: Edges that one task settles.
+BLOCK_EDGES = 500_000
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    parts = [[c.to_numpy(zero_copy_only=False) for c in x.columns] for x in batches if x.num_rows]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else []
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All groups of the edges (a, b, distance) of one task: files by id, each free one takes its free neighbours."""
+    if not (columns := _columns(batches)):
+        return
+    order = np.lexsort((columns[1], columns[0]))
+    a, b, distance = (c[order] for c in columns)
+    ids, place = np.unique(b, return_inverse=True)
+    taken = np.zeros(len(ids) + 1, bool)
+    heads, begin = np.unique(a, return_index=True)
+    own = np.searchsorted(ids, heads)
+    own[(own == len(ids)) | (ids[np.minimum(own, len(ids) - 1)] != heads)] = len(ids)  # nobody's larger neighbour
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(begin, [*begin[1:], len(a)])):
+        if not taken[own[k]]:
+            free = ~taken[place[x:y]]
+            keep[x:y] = free
+            taken[place[x:y][free]] = True
+    leaders = np.unique(a[keep])
+    none = pa.nulls(len(leaders), pa.int32())
+    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(distance[keep].astype(np.int32))], ["leader", "file_id", "distance"])
+    yield pa.RecordBatch.from_arrays([pa.array(leaders), pa.array(leaders), none], ["leader", "file_id", "distance"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, state) of the files b of one range of ids that its edges (a, b, state of a) decide: 1 for leaders, 0 for members; -1 is unknown."""
+    if not (columns := _columns(batches)):
+        return
+    order = np.lexsort((columns[0], columns[1]))
+    a, b, state = (c[order] for c in columns)
+    ids, begin = np.unique(b, return_index=True)
+    at = np.searchsorted(ids, a)
+    at[(at == len(ids)) | (ids[np.minimum(at, len(ids) - 1)] != a)] = len(ids)  # outside this range: known by its state alone
+    found = np.full(len(ids) + 1, -1, np.int8)
+    for k, (x, y) in enumerate(zip(begin, [*begin[1:], len(a)])):
+        known = np.maximum(state[x:y], found[at[x:y]])  # a file of this range is unknown before
+        if (known == 1).any():
+            found[k] = 0
+        elif (known == 0).all():
+            found[k] = 1
+    done = found[:-1] >= 0
+    yield pa.RecordBatch.from_arrays([pa.array(ids[done]), pa.array(found[:-1][done].astype(np.int32))], ["id", "state"])
+
+
 def leader_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(leader, file_id, distance): greedy groups as by going through the files by id, each free one taking its free neighbours.
 
-    edges(a, b, distance). A file is a leader if no smaller neighbour is one; others join their smallest leader. Each round
-    settles all files whose smaller neighbours are settled: rounds are as many as the longest chain of dependence, few on
-    real data. Leaders without members are dropped; the leader itself is a row with a null distance. Not transitive.
+    edges(a, b, distance). A file is a leader if no smaller neighbour is one; others join their smallest leader. Leaders without
+    members are dropped; the leader itself is a row with a null distance. Not transitive.
+
+    Up to BLOCK_EDGES edges are one task. More are cut into ranges of ids, and rounds settle all files whose smaller neighbours are settled
+    or lie in the same range: ids that are near each other in time or path mostly fall into one range, and there are no more rounds than ranges.
     """
     stage = Stage(spark, "leaders")
-    clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
-    clean = stage.write(clean, "edges")
-    left, taken = clean.select("a", "b"), []
-    while not left.isEmpty():
-        # leaders: files with neighbours but none smaller
-        leaders = left.select(F.col("a").alias("leader")).distinct().join(left.select(F.col("b").alias("leader")).distinct(), "leader", "left_anti")
-        leaders = stage.write(leaders, "leaders")
-        joined = stage.write(left.join(leaders, left.a == leaders.leader).select(F.col("b").alias("file_id")).distinct(), "joined")
-        taken.append(leaders)
-        # edges between files that are neither leaders nor members yet
-        rest = left.join(leaders, left.a == leaders.leader, "left_anti")
-        rest = rest.join(joined, rest.a == joined.file_id, "left_anti").join(joined, rest.b == joined.file_id, "left_anti")
-        after = stage.write(rest, "left")
-        stage.drop(joined)
-        left = after
-    if not taken:
-        return clean.select(F.col("a").alias("leader"), F.col("b").alias("file_id"), "distance")
-    # files that lost all their open edges lead nobody that isn't taken already; every edge of a leader to a larger file is a candidate
-    leaders = reduce(DataFrame.union, taken)
+    clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance"))
+    clean = stage.write(clean.groupBy("a", "b").agg(F.min("distance").alias("distance")), "edges")
+    count = clean.count()
+    if count <= BLOCK_EDGES:
+        return clean.coalesce(1).mapInArrow(_greedy, "leader long, file_id long, distance int")
+    first = clean.select(F.col("a").alias("id")).distinct().join(clean.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    known = [stage.write(first.select("id", F.lit(1).alias("state")), "states")]
+    left = clean.select("a", "b", F.lit(-1).alias("state"))
+    while count:
+        told = left.join(known[-1].select(F.col("id").alias("a"), F.col("state").alias("now")), "a", "left").select("a", "b", F.coalesce("now", "state").alias("state"))
+        told = stage.write(told, "told")
+        # whatever has a leader for a neighbour is a member; so a file with most edges is settled before they'd be brought to one task
+        sure = stage.write(told.where("state = 1").select(F.col("b").alias("id")).distinct(), "sure")
+        open_ = told.join(sure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state").repartitionByRange(-(-count // BLOCK_EDGES), "b")
+        known.append(stage.write(open_.mapInArrow(_settle, "id long, state int").union(sure.select("id", F.lit(0))), "states"))
+        stage.drop(left)
+        left = stage.write(told.join(known[-1].select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state"), "left")
+        stage.drop(told)
+        count = left.count()
+    leaders = reduce(DataFrame.union, known).where("state = 1").select(F.col("id").alias("leader"))
     member = clean.join(leaders, clean.a == leaders.leader).join(leaders.select(F.col("leader").alias("b")), "b", "left_anti")
-    first = member.groupBy("b").agg(F.min(F.struct("a", "distance")).alias("m")).select(F.col("m.a").alias("leader"), F.col("b").alias("file_id"), "m.distance")
-    heads = first.select("leader").distinct().select("leader", F.col("leader").alias("file_id"), F.lit(None).cast("int").alias("distance"))
-    return first.union(heads)
+    nearest = member.groupBy("b").agg(F.min(F.struct("a", "distance")).alias("m")).select(F.col("m.a").alias("leader"), F.col("b").alias("file_id"), "m.distance")
+    heads = nearest.select("leader").distinct().select("leader", F.col("leader").alias("file_id"), F.lit(None).cast("int").alias("distance"))
+    return nearest.union(heads)
+
 
+def alike(files: DataFrame, hashes: tuple[str, ...], strict: bool) -> DataFrame:
+    """(file_id, first): files with some hash (as numbers), and the smallest id of those that no comparison can tell from it: same hashes, sides and, if strict, time."""
+    known = files.select("file_id", *hashes, "dims_w", "dims_h", *(["exif_dt"] if strict else [])).where(F.coalesce(*hashes).isNotNull())
+    same = [c for c in known.columns if c != "file_id"]
+    first = known.groupBy(*same).agg(F.min("file_id").alias("first"))
+    equal = reduce(lambda x, y: x & y, [F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")) for c in same])
+    return known.alias("k").join(first.alias("f"), equal).select("k.file_id", "f.first")
 
-def near_groups(spark: SparkSession, files: DataFrame, radius: int, **options) -> DataFrame:
-    """(group_no, file_id, confidence): greedy near groups; confidence is 1 - smallest distance / radius, 0.1 at least."""
-    rows = leader_groups(spark, near_edges(files, radius, **options))
-    rows = Stage(spark, "near").write(rows, "groups")
+
+def near_groups(spark: SparkSession, files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash", "dhash", "whash"), exact: DataFrame | None = None, strict: bool = False, tolerance: float = 0.1) -> DataFrame:
+    """(group_no, file_id, confidence): greedy near groups; confidence is 1 - smallest distance / radius, 0.1 at least.
+
+    Files that are alike have the same neighbours and are neighbours of each other, so they go to one group: only the first of them is
+    compared, and the others join its group at the end. No pairs of copies are made.
+    """
+    stage = Stage(spark, "near")
+    if exact is not None:
+        files = files.join(exact.select("file_id").distinct(), "file_id", "left_anti")
+    files = stage.write(files.select("file_id", "dims_w", "dims_h", "exif_dt", *[number(files, h).alias(h) for h in hashes]), "files")
+    like = stage.write(alike(files, hashes, strict), "alike")
+    firsts = files.join(like.where("file_id = first").select("file_id"), "file_id", "left_semi")
+    rows = leader_groups(spark, near_edges(firsts, radius, hashes, strict=strict, tolerance=tolerance))
+    rows = stage.write(rows, "groups")
+    others = like.where("file_id <> first")
+    joined = others.join(rows.select(F.col("file_id").alias("first"), "leader", F.coalesce("distance", F.lit(0)).alias("distance")), "first", "left")
+    joined = joined.select(F.coalesce("leader", "first").alias("leader"), "file_id", F.coalesce("distance", F.lit(0)).alias("distance"))
+    # a first file that only its copies join leads a group of its own
+    alone = others.select(F.col("first").alias("leader")).distinct().join(rows.select(F.col("file_id").alias("leader")), "leader", "left_anti")
+    rows = stage.write(rows.union(joined).union(alone.select("leader", F.col("leader").alias("file_id"), F.lit(None).cast("int"))), "members")
     least = rows.groupBy("leader").agg(F.min("distance").alias("d"))
     score = F.greatest(F.lit(0.1), 1.0 - F.col("d") / F.lit(float(max(radius, 1))))
     return rows.join(least, "leader").select(F.col("leader").alias("group_no"), "file_id", score.alias("confidence"))
@@ -111,6 +199,9 @@ def near_groups(spark: SparkSession, files: DataFrame, radius: int, **options) -
 def two_tier(spark: SparkSession, files: DataFrame, radius: int = RADIUS["Balanced"], confirm: bool = True, **options) -> DataFrame:
     """(tier, group_no, file_id, role, confidence): exact groups, near groups of the other files, and the original of each group."""
     stage = Stage(spark, "tiers")
+    hashes = options.get("hashes", ("phash", "dhash", "whash"))
+    kept = [c for c in ("file_id", "size", "fast_hash", "sha256", "path", "format", "dims_w", "dims_h", "exif_dt") if c in files.columns]
+    files = stage.write(files.select(*kept, *[number(files, h).alias(h) for h in hashes]), "files")  # read three times below
     exact = stage.write(exact_groups(files, confirm), "exact")
     near = near_groups(spark, files, radius, exact=exact, **options)
     members = exact.withColumn("tier", F.lit("exact")).unionByName(near.withColumn("tier", F.lit("near")))

@@ -2,11 +2,14 @@
 
 A hash is cut into ``blocks`` runs of bits. Two hashes within ``radius`` agree in at least ``blocks - radius`` of them, so
 every combination of that many (or fewer) blocks makes a key under which some of the keys must be equal. Keys are
-ordinary columns: the search is an equi-join on them with the distance as a further condition, and no pair is missed.
+ordinary columns: the search is an equi-join on them with the distance as a further condition, and no pair is missed. How many
+blocks make a key follows from the number of values, and a pair counts only under the first of the keys it shares, so that pairs come
+out once without being shuffled again.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,80 +17,155 @@ from pyspark.sql import functions as F
 
 from lumatwin.functions.hashes import hamming
 from lumatwin.functions.media import char_distance
-from lumatwin.stage import Stage
+from lumatwin.stage import Stage, spread
 
 
 #: Numbers of one window above which it's split.
 CROWD = 4096
+#: Cost of comparing two numbers of a window, where copying a number to a window costs 1.
+COMPARE = 0.03
+#: Copies of a number at most: plans with more aren't considered.
+MOST_KEYS = 500
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How numbers are cut: masks of the blocks, and how many of them agree in a key. interleaved: blocks of bits that lie far apart."""
+
+    radius: int
+    free: int
+    interleaved: bool = False
+
+    @property
+    def blocks(self) -> int:
+        return max(self.radius, 1) + self.free
+
+    @property
+    def cuts(self) -> list[int]:
+        return [64 * k // self.blocks for k in range(self.blocks + 1)]
+
+    @property
+    def order(self) -> list[int]:
+        """The bits (0 is the highest) in the order in which they're cut: as they are, or first every n-th one, then every n-th from the second on ..."""
+        n = self.blocks if self.interleaved else 1
+        return [b for start in range(n) for b in range(start, 64, n)]
+
+    @property
+    def masks(self) -> list[int]:
+        """The bits of each block, as a signed number."""
+        found = [sum(1 << (63 - b) for b in self.order[x:y]) for x, y in zip(self.cuts, self.cuts[1:])]
+        return [m - (1 << 64) if m >> 63 else m for m in found]
+
+    @property
+    def width(self) -> int:
+        """Most bits of a key."""
+        return self.free * max(b - a for a, b in zip(self.cuts, self.cuts[1:]))
+
+    def density(self) -> float:
+        """The part of all pairs of random numbers that meet."""
+        size = [b - a for a, b in zip(self.cuts, self.cuts[1:])]
+        return sum(2.0 ** -sum(size[k] for k in combo) for combo in combinations(range(self.blocks), self.free))
+
+    def keys(self) -> int:
+        return len(list(combinations(range(self.blocks), self.free)))
+
+
+def plan(radius: int, copies: float, pairs: float, least: int = 1) -> Plan:
+    """The cheapest plan for so many numbers to copy and pairs of them: keys get longer with the logarithm of the number of pairs."""
+    options = [x for free in range(least, 6) if (x := Plan(radius, free)).width + x.blocks < 63 and x.keys() <= MOST_KEYS]
+    return min(options, key=lambda x: copies * x.keys() + pairs * x.density() * COMPARE)
+
+
+def _bits(value: Column, order: list[int]) -> Column:
+    """Bits of a number, in the order named, as the lowest bits of another one; runs of neighbours are cut out at once."""
+    out, k = F.lit(0).cast("long"), 0
+    while k < len(order):
+        n = 1
+        while k + n < len(order) and order[k + n] == order[k] + n:
+            n += 1
+        run = F.shiftrightunsigned(value, 64 - order[k] - n)
+        out = F.shiftleft(out, n).bitwiseOR(run if n == 64 else run.bitwiseAND(F.lit((1 << n) - 1).cast("long")))
+        k += n
+    return out
 
 
-def plan(radius: int) -> tuple[int, int]:
-    """Number of blocks and of agreeing blocks in a key: two agreeing ones keep keys selective with few combinations."""
-    return radius + 2, 2
+def windows(values: DataFrame, column: str, p: Plan, name: str = "window") -> DataFrame:
+    """values once for each of its keys, in a column ``name``.
 
+    Above the bits of its blocks, a key holds the mask of the earlier blocks that it leaves out, which tells combinations apart. The
+    combinations are one constant list, so the plan's code is as short for many keys as for few.
+    """
+    step = max(b - a for a, b in zip(p.cuts, p.cuts[1:]))
+    combos = combinations(range(p.blocks), p.free)
+    codes = [sum(1 << k for k in range(c[-1]) if k not in c) << 30 | sum(k << 6 * n for n, k in enumerate(c)) for c in combos]
+    parts = F.array(*[_bits(F.col(column), p.order[a:b]) for a, b in zip(p.cuts, p.cuts[1:])])
+    rows = values.withColumn("_parts", parts).withColumn("_code", F.explode(F.lit(codes).cast("array<long>")))
+    key = F.shiftright("_code", 30)
+    for n in range(p.free):
+        at = F.shiftright("_code", 6 * n).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        key = F.shiftleft(key, step).bitwiseOR(F.get("_parts", at))
+    return rows.withColumn(name, key).drop("_parts", "_code")
 
-def interleaved(value: Column, radius: int) -> Column:
-    """The bits of a number in another order: first every n-th one, then every n-th from the second on ..., n being the number of blocks.
 
-    A block of the new order holds a bit or two of every block of the old one.
-    """
-    n = plan(radius)[0]
-    order = [b for start in range(n) for b in range(start, 64, n)]
-    bit = lambda k: F.shiftleft(F.shiftrightunsigned(value, 63 - order[k]).bitwiseAND(F.lit(1).cast("long")), 63 - k)
-    out = bit(0)
-    for k in range(1, 64):
-        out = out.bitwiseOR(bit(k))
-    return out
+def first_common(a: Column, b: Column, window: Column, p: Plan) -> Column:
+    """Whether a window that two numbers share is the first one they do: they differ in all earlier blocks that it leaves out."""
+    x = a.bitwiseXOR(b)
+    agree = F.lit(0).cast("long")
+    for k, mask in enumerate(p.masks):
+        agree = agree + F.when(x.bitwiseAND(F.lit(mask).cast("long")) == 0, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return agree.bitwiseAND(F.shiftrightunsigned(window, p.width)) == 0
 
 
-def window_keys(value: Column, radius: int) -> Column:
-    """Array of the keys of a 64-bit number; the number of the combination stands in the upper bits."""
-    blocks, free = plan(radius)
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    widest = max(b - a for a, b in zip(cuts, cuts[1:]))
-    part = lambda k: F.shiftrightunsigned(value, 64 - cuts[k + 1]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1).cast("long"))
-    keys = []
-    for n, combo in enumerate(combinations(range(blocks), free)):
-        key = F.lit(n).cast("long")
-        for k in combo:
-            key = F.shiftleft(key, widest).bitwiseOR(part(k))
-        keys.append(key)
-    return F.array(*keys)
+def split(rows: DataFrame, crowded: DataFrame, keys: list[str], column: str, p: Plan) -> DataFrame:
+    """rows(*keys, column, ...) with ``inner``: -1, but for the rows of crowded windows all windows of their bits in another order."""
+    other = Plan(p.radius, p.free, True)
+    light = rows.join(crowded, keys, "left_anti").withColumn("inner", F.lit(-1).cast("long"))
+    heavy = windows(rows.join(crowded, keys, "left_semi"), column, other, "inner")
+    return light.unionByName(heavy)
 
 
-def windows(values: DataFrame, column: str, radius: int) -> DataFrame:
-    """values once for each of its keys, in the column ``window``."""
-    return values.withColumn("window", F.explode(window_keys(F.col(column), radius)))
+def first_inner(a: Column, b: Column, inner: Column, p: Plan) -> Column:
+    return (inner < 0) | first_common(a, b, inner, Plan(p.radius, p.free, True))
 
 
 def near_values(values: DataFrame, radius: int, column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (*by, a, b, distance), a < b, of the different 64-bit numbers of a column that differ in at most radius bits.
 
-    by: columns in which both numbers must be equal, too: several kinds of numbers are searched in one pass. Nulls take no part and repeated numbers count once. Empty input gives an empty result. A window that holds more than
-    CROWD numbers is split by the windows of its numbers with their bits in another order, which as surely have one in common for
-    each near pair; so a window with a third of all numbers isn't compared as a whole.
+    by: columns in which both numbers must be equal, too: several kinds of numbers are searched in one pass. Nulls take no part and
+    repeated numbers count once. Empty input gives an empty result. A window that holds more than CROWD numbers is split by the
+    windows of its numbers with their bits in another order, which as surely have one in common for each near pair; so a window with
+    a third of all numbers isn't compared as a whole.
     """
     stage = Stage(values.sparkSession, "near")
     different = stage.write(values.select(*by, F.col(column).alias("value")).where("value IS NOT NULL").distinct(), "values")
-    keyed, keys = windows(different, "value", radius), [*by, "window"]
-    crowded = stage.write(keyed.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*keys), "crowded")
-    rows = keyed
-    if not crowded.isEmpty():
-        light = keyed.join(crowded, keys, "left_anti").select(*keys, F.lit(-1).cast("long").alias("inner"), "value")
-        turned = keyed.join(crowded, keys, "left_semi").withColumn("turned", interleaved(F.col("value"), radius))
-        rows = light.union(turned.select(*keys, F.explode(window_keys(F.col("turned"), radius)).alias("inner"), "value"))
-        keys = [*keys, "inner"]
-    a, b = (rows.select(*keys, F.col("value").alias(n)) for n in "ab")
+    n = F.count("*").alias("n")
+    count, pairs = (different.groupBy(*by).agg(n) if by else different.agg(n)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("n") / 2.0), F.lit(0.0))).first()
+    p = plan(radius, count, pairs)
+    rows, keys, inner = windows(spread(different), "value", p), [*by, "window"], None
+    if count > CROWD:
+        crowded = stage.write(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*keys), "crowded")
+        if not crowded.isEmpty():
+            rows, inner = split(rows, crowded, keys, "value", p), "inner"
+    on = [*keys, inner] if inner else keys
+    a, b = (rows.select(*on, F.col("value").alias(n)) for n in "ab")
     distance = hamming(F.col("a"), F.col("b"))
-    return a.join(b, keys).where((F.col("a") < F.col("b")) & (distance <= radius)).select(*by, "a", "b", distance.alias("distance")).distinct()
+    near = (F.col("a") < F.col("b")) & (distance <= radius) & first_common(F.col("a"), F.col("b"), F.col("window"), p)
+    if inner:
+        near &= first_inner(F.col("a"), F.col("b"), F.col("inner"), p)
+    return a.join(b, on).where(near).select(*by, "a", "b", distance.alias("distance"))
 
 
 def probe(values: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     """Rows (query, value, distance) for the numbers of ``values.value`` within radius of each of ``queries.query``."""
-    left = windows(queries.select("query").where("query IS NOT NULL").distinct(), "query", radius)
-    right = windows(values.select("value").where("value IS NOT NULL").distinct(), "value", radius)
+    stage = Stage(values.sparkSession, "probe")
+    asked = stage.write(queries.select("query").where("query IS NOT NULL").distinct(), "asked")
+    known = stage.write(values.select("value").where("value IS NOT NULL").distinct(), "known")
+    q, n = asked.count(), known.count()
+    p = plan(radius, q + n, q * n)
+    left, right = windows(spread(asked), "query", p), windows(spread(known), "value", p)
     distance = hamming(F.col("query"), F.col("value"))
-    return left.join(right, "window").where(distance <= radius).select("query", "value", distance.alias("distance")).distinct()
+    near = (distance <= radius) & first_common(F.col("query"), F.col("value"), F.col("window"), p)
+    return left.join(right, "window").where(near).select("query", "value", distance.alias("distance"))
 
 
 def near_texts(rows: DataFrame, most: int, length: int) -> DataFrame:

@@ -76,13 +76,14 @@ def near_pairs(radius):
 def near_pairs_multi(spark, d):
     """Pairs of indexed files near by any hash, with the distance of each hash that is, and the smallest."""
     rows = current_features(spark, d, ["file_id", "feature_ver", *HASHES]).select("file_id", *[hash_long(F.col(h)).alias(h) for h in HASHES]).where("phash IS NOT NULL")
-    kinds = F.array(*[F.struct(F.lit(h).alias("hash"), F.col(h).alias("v")) for h in HASHES])
+    rows = Stage(spark, "multi").write(rows, "rows")
+    kinds = F.array(*[F.struct(F.lit(k).alias("hash"), F.col(h).alias("v")) for k, h in enumerate(HASHES)])
     at = rows.select("file_id", F.explode(kinds).alias("h")).select("file_id", "h.hash", "h.v").where("v IS NOT NULL")
     a, b = at.select("hash", F.col("file_id").alias("x"), F.col("v").alias("a")), at.select("hash", F.col("file_id").alias("y"), F.col("v").alias("b"))
     pairs = near_values(at.select("hash", "v"), grouping.RADIUS["Ultra-Lite"], "v", by=("hash",)).join(a, ["hash", "a"]).join(b, ["hash", "b"]).select("x", "y", "hash", "distance")
     same = a.join(b.withColumnRenamed("b", "a"), ["hash", "a"]).where("x < y").select("x", "y", "hash", F.lit(0).alias("distance"))
     all_ = pairs.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "hash", "distance")
-    of = lambda h: F.min(F.when(F.col("hash") == h, F.col("distance"))).alias(h)
+    of = lambda h: F.min(F.when(F.col("hash") == HASHES.index(h), F.col("distance"))).alias(h)
     return all_.groupBy("a", "b").agg(*[of(h) for h in HASHES], F.min("distance").alias("min_distance"))
 
 

@@ -35,12 +35,30 @@ def ship(spark: SparkSession) -> None:
     sc._lumatwin = True
 
 
+#: Folders of the operators that ran since the last release.
+_ROOTS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of all operators so far and returns their number. To be called when their results are written: lazy results still read them."""
+    gone = len(_ROOTS)
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+    return gone
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Stage:
     """Intermediate tables of one operator run; the ones no longer needed are dropped as it goes on."""
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         ship(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", 0
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -60,9 +78,7 @@ class Stage:
                 self.delete(at)
 
     def delete(self, at: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(at)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(self.spark, at)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:

@@ -68,8 +68,10 @@ def greedy(edges):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_leaders_against_greedy_loop(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [*((k, None) for k in range(4)), *((k, 20) for k in range(4))])
+def test_leaders_against_greedy_loop(spark, monkeypatch, seed, block):
+    if block:  # several ranges and rounds
+        monkeypatch.setattr(grouping, "BLOCK_EDGES", block)
     rng = random.Random(seed)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range((30, 60, 90, 150)[seed])}
     df = spark.createDataFrame([(b, a, 1) if rng.random() < 0.5 else (a, b, 1) for a, b in edges], "a long, b long, distance int")
@@ -83,6 +85,38 @@ def test_leaders_are_no_components(spark):
     assert run([]) == set() and run([(4, 4, 0)]) == set()
 
 
+@pytest.mark.parametrize("block", [500_000, 2])
+def test_leader_whose_smaller_neighbour_is_taken(spark, monkeypatch, block):
+    """2 is free to lead as 1 goes to 0, and takes 5 although 3 could."""
+    monkeypatch.setattr(grouping, "BLOCK_EDGES", block)
+    df = spark.createDataFrame([(0, 1, 1), (1, 2, 1), (2, 5, 4), (3, 5, 2)], "a long, b long, distance int")
+    assert {(r.leader, r.file_id, r.distance) for r in grouping.leader_groups(spark, df).collect()} == {(0, 0, None), (0, 1, 1), (2, 2, None), (2, 5, 4)}
+
+
+@pytest.mark.parametrize("block", [500_000, 25_000])
+def test_long_chain_and_hubs(spark, monkeypatch, block):
+    """A chain of 100,000 consecutive ids takes no more rounds than ranges; a file with a third of the edges is no hindrance on either end."""
+    monkeypatch.setattr(grouping, "BLOCK_EDGES", block)
+    n = 100_000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = spark.range(200_001, 240_000).select(F.lit(200_000).cast("long").alias("a"), F.col("id").alias("b"))
+    into = spark.range(300_000, 340_000).select(F.col("id").alias("a"), F.lit(400_000).cast("long").alias("b"))
+    got = grouping.leader_groups(spark, chain.union(out).union(into).withColumn("distance", F.lit(1)))
+    assert got.where(f"leader < {n}").groupBy().agg(F.count("*"), F.countDistinct("leader")).first()[:] == (n, n // 2) and got.where(f"leader < {n} AND leader % 2 = 1").count() == 0
+    assert got.where("leader = 200000").count() == 40_000 and [r.file_id for r in got.where("leader >= 300000").orderBy("file_id").collect()] == [300_000, 400_000]
+
+
+def test_copies_make_no_pairs(spark, monkeypatch):
+    """Of files that are alike only the first is compared: 300 of them, one near to them, and a pair whose sides differ."""
+    h = lambda bits: f"{0x0F1E2D3C4B5A6978 ^ ((1 << bits) - 1):016x}"
+    rows = [row(k, p=h(0)) for k in range(10, 310)] + [row(5, p=h(3)), row(400, p="ffff0000ffff0000"), row(401, p="ffff0000ffff0000"), row(500, p=h(0), w=9000)]
+    edges = []
+    monkeypatch.setattr(grouping, "near_edges", lambda *a, _f=grouping.near_edges, **k: edges.append(_f(*a, **k)) or edges[-1])
+    got = {(r.group_no, r.file_id): r.confidence for r in grouping.near_groups(spark, files(spark, rows), 8).collect()}
+    assert set(got) == {(5, k) for k in (5, *range(10, 310))} | {(400, 400), (400, 401)} and edges[0].count() == 1
+    assert got[5, 10] == pytest.approx(1 - 3 / 8) and got[400, 401] == 1.0
+
+
 def test_near_groups_and_confidence(spark):
     h = lambda bits: f"{0x0F1E2D3C4B5A6978 ^ ((1 << bits) - 1):016x}"
     rows = [row(1, p=h(0)), row(2, p=h(2)), row(3, p=h(0), w=300), row(4, p="0" * 16), row(5, p="0" * 16), row(6, p=None), row(7, p=h(8), w=None)]
