@@ -1,152 +1,260 @@
 """Deduplicating batches against all history with multi-key sorted-neighbourhood runs.
 
-Every distinct perceptual hash is stored under several keys: a key is the hash with some of its blocks moved to the front,
-and all hashes that share those leading bits form one window. Within the radius, two hashes share at least one window, so
-comparing a new hash with its windows finds every near one. The keys live in runs: tables bucketed and sorted by window.
-A batch becomes a small sorted run of its own, is compared with its windows in the older runs (same buckets, so nothing of the
-history is shuffled or sorted again), and runs of one level are merged when there are ``fan`` of them.
+Every record is stored under several keys. A key of its perceptual hash is the hash with some of its blocks moved to the front: all hashes
+that share the leading bits form one window, and within the radius two hashes share at least one window. Two more keys, the whole hash and the
+SHA-256, lead from a value to the files that have it. The keys live in runs: tables sorted by key and cut into files of a bounded number of
+rows, with the key range of each file known (its fence).
 
-Exact equality (SHA-256, and perceptual hashes that are equal) needs no window: it's an equi-join of members, at the end.
+A batch becomes a small sorted run of its own. Its keys are laid beside the fences of the older runs, and only those files are read in which
+one of its keys can be; within them, only rows of the same windows are compared. So what a batch reads grows with its own keys, not with the
+history. Runs of like size are merged when there are ``fan`` of them, so that a row is written again only as often as the history has grown
+by that factor. The runs hold all that's needed to name pairs of files: another session opens them and goes on.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumatwin.functions.hashes import hamming
 from lumatwin.operators import hamming as hamming_join
-from lumatwin.operators.hamming import windows
 from lumatwin.stage import Stage
 
+#: Rows of one file of a run at most. A key of a batch makes one such file be read, or two if its window lies on an edge.
+FILE_ROWS = 200_000
+#: Rows below which runs count as of one size.
+LEAST_ROWS = 100_000
+#: The upper byte of a key: windows, whole hashes, SHA-256.
+WINDOW, WHOLE, SHA = 0, 1, 2
+SCHEMA = "key long, value long, sha string, file_id long"
+
 
 @dataclass
 class Run:
-    """A table (window, value) in buckets of windows, sorted within each; crowded: its windows of more than hamming.CROWD values, if there are some."""
+    """A sorted table of keys at a path; fences: for each of its files the path, first and last key, rows and bytes; crowded: its windows of more than hamming.CROWD values, if there are some."""
 
-    table: str
     path: str
-    level: int
+    rows: int
+    fences: list[tuple[str, int, int, int, int]]
     crowded: DataFrame | None = None
 
+    @property
+    def level(self) -> int:
+        return math.floor(math.log(max(self.rows / LEAST_ROWS, 1), 4))
+
+
+def _key(kind: int, number: Column) -> Column:
+    """A key of a kind: the kind above 56 bits of the number."""
+    return F.shiftrightunsigned(number, 8).bitwiseOR(F.lit(kind << 56).cast("long"))
+
+
+def _whole(value: Column) -> Column:
+    return _key(WHOLE, F.xxhash64(value))
+
+
+def _sha(sha: Column) -> Column:
+    return _key(SHA, F.xxhash64(sha))
+
+
+def _long_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of a part of a sorted run that stand in more than half of hamming.CROWD rows on end: all with more than CROWD rows are among them, as a key lies in neighbouring files."""
+    last, n = None, 0
+    for x in batches:
+        keys, counts = np.unique(x["key"].to_numpy(), return_counts=True)
+        if len(keys) and keys[0] == last:
+            counts[0] += n
+        if len(keys):
+            last, n = keys[-1], counts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > hamming_join.CROWD // 2])], ["key"])
+
 
 @dataclass
 class HistoryIndex:
-    """The windows of all values accepted so far.
+    """The keys of all records accepted so far.
 
-    radius: most differing bits of a near pair; fan: how many runs of a level are merged into one of the next; buckets: of
-    every run, so that runs are joined without a shuffle. Null values are ignored and repeated ones count once.
+    radius: most differing bits of a near pair; fan: how many runs of like size are merged into one; expected: about how many different
+    hashes the index will hold, which settles the length of window keys (they should have about log2 of it bits: then a window holds few
+    others). It may be wrong by far: results don't depend on it. Null hashes match nothing; a record with neither hash is ignored.
     """
 
     spark: SparkSession
     radius: int = 6
-    fan: int = 3
-    buckets: int | None = None
+    fan: int = 4
+    expected: int = 1_000_000
     runs: list[Run] = field(default_factory=list)
+    read: tuple[int, int] = (0, 0)
 
     def __post_init__(self) -> None:
         self.stage = Stage(self.spark, "history")
-        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _save(self, keyed: DataFrame, level: int) -> Run:
-        name, at = f"run_{uuid.uuid4().hex}", self.stage.path("run")
-        rows = keyed.select("window", "value").repartition(self.buckets, "window")
-        rows.write.bucketBy(self.buckets, "window").sortBy("window").option("path", at).format("parquet").saveAsTable(name)
-        return Run(name, at, level, self._crowded(name))
-
-    def _crowded(self, name: str) -> DataFrame | None:
-        """The crowded windows of a run: counted within its buckets, and only if it has enough rows for one."""
-        rows = self.spark.table(name)
-        if rows.count() <= hamming_join.CROWD:
-            return None
-        found = self.stage.write(rows.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > hamming_join.CROWD).select("window"), "crowded")
-        return None if found.isEmpty() else found
+        self.plan = hamming_join.plan(self.radius, self.expected, self.expected**2 / 100, least=2)
+
+    # --- runs ---
+
+    def _keys(self, records: DataFrame) -> DataFrame:
+        """records(file_id, sha256, phash) under all their keys: each hash once under its windows, each file under its whole hash and its SHA-256."""
+        hashed = records.where("phash IS NOT NULL")
+        shared = hamming_join.windows(hashed.select(F.col("phash").alias("value")).distinct(), "value", self.plan, "key")
+        none, nobody = F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("file_id")
+        parts = [
+            shared.select("key", "value", none, nobody),
+            hashed.select(_whole(F.col("phash")).alias("key"), F.col("phash").alias("value"), none, "file_id"),
+            records.where("sha256 IS NOT NULL").select(_sha(F.col("sha256")).alias("key"), F.lit(None).cast("long").alias("value"), F.col("sha256").alias("sha"), "file_id"),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _save(self, keyed: DataFrame) -> Run | None:
+        """keyed as a sorted run. Files are ranges of keys, so one key is in one file, or in neighbouring ones if it has more rows than a file."""
+        at = self.stage.path("run")
+        keyed.repartitionByRange("key", F.xxhash64("file_id", "value")).sortWithinPartitions("key").write.option("maxRecordsPerFile", FILE_ROWS).parquet(at)
+        rows = self.spark.read.schema(SCHEMA).parquet(at).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rows"))
+        fences = sorted(((r.file, r.low, r.high, r.rows, r.bytes) for r in rows.collect()), key=lambda f: f[1:3])  # one row a file
+        return self._run(at, fences) if fences else None
+
+    def _run(self, at: str, fences: list) -> Run:
+        run = Run(at, sum(f[3] for f in fences), fences)
+        if run.rows > hamming_join.CROWD:
+            found = self.stage.write(self.spark.read.schema(SCHEMA).parquet(at).where(F.col("key") < F.lit(WHOLE << 56)).select("key").mapInArrow(_long_stretches, "key long"), "crowded")
+            run.crowded = None if found.isEmpty() else found
+        return run
 
     def manifest(self) -> dict:
-        """What open() needs to go on with the runs in another session."""
-        return {"radius": self.radius, "fan": self.fan, "buckets": self.buckets, "runs": [(r.path, r.level) for r in self.runs]}
+        """What open() needs to go on with the runs in another session; their fences are written beside them."""
+        for run in self.runs:
+            at = f"{run.path}.fences"
+            self.spark.createDataFrame(run.fences, "file string, low long, high long, rows long, bytes long").coalesce(1).write.mode("overwrite").parquet(at)
+        return {"radius": self.radius, "fan": self.fan, "expected": self.expected, "runs": [r.path for r in self.runs]}
 
     @classmethod
     def open(cls, spark: SparkSession, manifest: dict) -> HistoryIndex:
-        """The index of a manifest. Its runs are read where they lie; the first one that merges or closes them takes them over."""
-        index = cls(spark, manifest["radius"], manifest["fan"], manifest["buckets"])
-        for path, level in manifest["runs"]:
-            name = f"run_{uuid.uuid4().hex}"
-            spark.sql(f"CREATE TABLE {name} (`window` BIGINT, value BIGINT) USING parquet CLUSTERED BY (`window`) SORTED BY (`window`) INTO {index.buckets} BUCKETS LOCATION '{path}'")
-            index.runs.append(Run(name, path, level, index._crowded(name)))
+        """The index of a manifest. Only fences are read now; whoever opens it last owns the runs: merging deletes merged ones."""
+        index = cls(spark, manifest["radius"], manifest["fan"], manifest["expected"])
+        for path in manifest["runs"]:
+            fences = sorted((tuple(r) for r in spark.read.parquet(f"{path}.fences").collect()), key=lambda f: f[1:3])
+            index.runs.append(index._run(path, fences))
         return index
 
     def _drop(self, run: Run) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
         self.stage.delete(run.path)
+        self.stage.delete(f"{run.path}.fences")
 
-    def load(self, values: DataFrame) -> None:
-        """Accepts values without comparing them: the history before the first batch. Its run isn't merged with those of batches."""
-        self.runs.append(self._save(windows(values.where("value IS NOT NULL").distinct(), "value", self.radius), 99))
-
-    def add(self, values: DataFrame) -> DataFrame:
-        """Accepts a batch. Returns the pairs (a, b) of a value a of the batch and a different value b, accepted before or with it, within the radius."""
-        new = self._save(windows(values.where("value IS NOT NULL").distinct(), "value", self.radius), 0)
-        self.runs.append(new)
-        fresh = self.spark.table(new.table).select("window", F.col("value").alias("a"))
-        near = []
+    def close(self) -> None:
         for run in self.runs:
-            old = self.spark.table(run.table).select("window", F.col("value").alias("b"))
-            met = []
-            if run.crowded is not None:  # by the windows of another order of bits within these windows
-                inner = lambda df, n: df.join(run.crowded, "window", "left_semi").withColumn("_turned", hamming_join.interleaved(F.col(n), self.radius)).select("window", n, F.explode(hamming_join.window_keys(F.col("_turned"), self.radius)).alias("inner"))  # noqa: E731, B023
-                met.append(inner(old, "b").join(inner(fresh, "a"), ["window", "inner"]).select("a", "b"))
-                old = old.join(run.crowded, "window", "left_anti")
-            met.append(old.join(fresh.hint("shuffle_hash"), "window").select("a", "b"))
-            near += [m.where((F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= self.radius)) for m in met]
-        found = self.stage.write(reduce(DataFrame.union, near).distinct(), "near")
-        self._compact()
-        return found
+            self._drop(run)
+        self.runs = []
 
     def _compact(self) -> None:
-        level = 0
-        while len(full := [r for r in self.runs if r.level == level]) >= self.fan:
-            rows = reduce(DataFrame.union, [self.spark.table(r.table) for r in full]).dropDuplicates(["window", "value"])
-            merged = self._save(rows, level + 1)
+        """Merges runs of like size: of fan runs of one level one of a higher one is made."""
+        while True:
+            by = {k: [r for r in self.runs if r.level == k] for k in {r.level for r in self.runs}}
+            full = next((runs for _, runs in sorted(by.items()) if len(runs) >= self.fan), None)
+            if full is None:
+                return
+            rows = self.spark.read.schema(SCHEMA).parquet(*[r.path for r in full])
+            windows = rows.where(F.col("key") < F.lit(WHOLE << 56)).distinct()
+            merged = self._save(windows.unionByName(rows.where(F.col("key") >= F.lit(WHOLE << 56))))
             self.runs = [r for r in self.runs if r not in full] + [merged]
             for run in full:
                 self._drop(run)
-            level += 1
 
-    def close(self) -> None:
-        for run in self.runs:
-            self._drop(run)
-        self.runs = []
+    # --- lookups ---
+
+    def _files(self, keys: DataFrame) -> list[str]:
+        """The files of runs in whose ranges some key lies. Only their numbers reach the driver, never more than there are files."""
+        fences = [f for r in self.runs for f in r.fences]
+        spans, at = [], 0
+        for r in self.runs:  # within a run, ranges ascend
+            spans.append((at, np.array([f[1] for f in r.fences]), np.array([f[2] for f in r.fences])))
+            at += len(r.fences)
+
+        def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(at, bool)
+            for x in batches:
+                k = np.unique(x["key"].to_numpy())
+                for start, low, high in spans:
+                    first, last = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
+                    marks = np.zeros(len(low) + 1, np.int64)
+                    some = first < last
+                    np.add.at(marks, first[some], 1)
+                    np.add.at(marks, last[some], -1)
+                    seen[start : start + len(low)] |= np.cumsum(marks)[:-1] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["n"])
+
+        wanted = [r.n for r in keys.select("key").mapInArrow(hit, "n long").distinct().collect()]
+        self.read = (self.read[0] + len(wanted), self.read[1] + sum(fences[n][4] for n in wanted))
+        return [fences[n][0] for n in wanted]
+
+    def _rows(self, keys: DataFrame) -> DataFrame:
+        files = self._files(keys)
+        reader = self.spark.read.schema(SCHEMA)
+        return reader.parquet(*files) if files else self.spark.createDataFrame([], SCHEMA)
+
+    def _near(self, fresh: DataFrame) -> DataFrame:
+        """(a, b): the different hashes b accepted so far (these included) within the radius of each new hash a."""
+        keyed = self.stage.write(hamming_join.windows(fresh, "a", self.plan, "key"), "asked")
+        rows = self._rows(keyed).where(F.col("key") < F.lit(WHOLE << 56)).select("key", F.col("value").alias("b"))
+        on, a, b = ["key"], F.col("a"), F.col("b")
+        near = (a != b) & (hamming(a, b) <= self.radius) & hamming_join.first_common(a, b, F.col("key"), self.plan)
+        crowded = [r.crowded for r in self.runs if r.crowded is not None]
+        if crowded:
+            keys = reduce(DataFrame.union, crowded).distinct()  # a bound on the window's rows in one run splits it in all
+            keyed, rows = hamming_join.split(keyed, keys, on, "a", self.plan), hamming_join.split(rows, keys, on, "b", self.plan)
+            on, near = ["key", "inner"], near & hamming_join.first_inner(a, b, F.col("inner"), self.plan)
+        # the same hash may stand in several runs
+        return rows.join(keyed, on).where(near).select("a", "b").distinct()
+
+    def load(self, records: DataFrame) -> None:
+        """Accepts records(file_id, sha256, phash) without comparing them: the history before the first batch."""
+        if run := self._save(self._keys(records)):
+            self.runs.append(run)
+            self._compact()
+
+    def add(self, records: DataFrame) -> DataFrame:
+        """Accepts a batch records(file_id, sha256, phash), one row per file. Returns the pairs (file_id_a, file_id_b), a < b, of a file of the batch and another one, accepted before or with it, that have equal sha256 or hashes within the radius."""
+        self.read = (0, 0)
+        records = self.stage.write(records.select("file_id", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL"), "batch")
+        if run := self._save(self._keys(records)):
+            self.runs.append(run)
+        fresh = records.select(F.col("phash").alias("a")).where("a IS NOT NULL").distinct()
+        equal = fresh.select("a", F.col("a").alias("b"))
+        near = self.stage.write(self._near(fresh).union(equal).select("a", "b", _whole(F.col("b")).alias("key")), "near")
+        shas = records.where("sha256 IS NOT NULL").select(_sha(F.col("sha256")).alias("key"), F.col("sha256").alias("sha"), F.col("file_id").alias("x"))
+        rows = self._rows(near.select("key").union(shas.select("key")))
+        by_hash = rows.where("value IS NOT NULL AND file_id IS NOT NULL").select("key", F.col("value").alias("b"), F.col("file_id").alias("y"))
+        by_hash = by_hash.join(near, ["key", "b"]).join(records.select(F.col("phash").alias("a"), F.col("file_id").alias("x")), "a").select("x", "y")
+        by_sha = rows.where("sha IS NOT NULL").select("key", "sha", F.col("file_id").alias("y")).join(shas, ["key", "sha"]).select("x", "y")
+        found = by_hash.union(by_sha).where("x <> y").select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b")).distinct()
+        found = self.stage.write(found, "found")
+        self._compact()
+        return found
 
 
 def batch_pairs(spark: SparkSession, members: DataFrame, radius: int = 6) -> DataFrame:
     """(file_id_a, file_id_b), a < b: files not both of batch 0 with equal sha256 or phash within radius.
 
     members(file_id, batch_no, sha256?, phash?), one row per file: usable hashes or null, which match nothing. Batches are
-    taken in order; each is compared with what was accepted before it and with itself. The batch numbers are few (one job
-    each); the files and pairs never leave the executors. Copies are kept as members of one value, so they aren't compared again and
-    again, and are expanded into pairs only in the result.
+    taken in order (their numbers are few, and each is one step); each is compared with what was accepted before it and with itself, so a
+    pair comes out in the batch of its later file only. Copies are members of one hash, so hashes are compared once, and are expanded
+    into pairs only in the result.
     """
-    index = HistoryIndex(spark, radius)
-    members = index.stage.write(members.select("file_id", "batch_no", "sha256", "phash"), "members")
-    batches = sorted(r.batch_no for r in members.select("batch_no").where("batch_no > 0").distinct().collect())
-    value = lambda b: members.where(F.col("batch_no") == b).select(F.col("phash").alias("value"))
-    index.load(value(0))
-    near = [index.add(value(b)).withColumn("batch_no", F.lit(b)) for b in batches]
+    stage = Stage(spark, "batches")
+    at = stage.path("members")
+    members.select("file_id", "batch_no", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL").write.partitionBy("batch_no").parquet(at)
+    members = spark.read.schema("file_id long, sha256 string, phash long, batch_no int").parquet(at)
+    sizes = {r.batch_no: r.n for r in members.groupBy("batch_no").agg(F.count("*").alias("n")).collect()}
+    index = HistoryIndex(spark, radius, expected=max(sum(sizes.values()), 1))
+    of = lambda b: members.where(F.col("batch_no") == b)
+    if 0 in sizes:
+        index.load(of(0))
+    found = [index.add(of(b)) for b in sorted(sizes) if b > 0]
     index.close()
-
-    new = members.where("batch_no > 0").select(F.col("file_id").alias("x"), F.col("batch_no").alias("xb"), F.col("phash").alias("xp"), F.col("sha256").alias("xs"))
-    old = members.select(F.col("file_id").alias("y"), F.col("batch_no").alias("yb"), F.col("phash").alias("yp"), F.col("sha256").alias("ys"))
-    earlier = (F.col("yb") <= F.col("xb")) & (F.col("x") != F.col("y"))
-    parts = [
-        new.join(old, F.col("xs") == F.col("ys")).where(earlier).select("x", "y"),
-        new.join(old, F.col("xp") == F.col("yp")).where(earlier).select("x", "y"),
-    ]
-    if near:
-        close = reduce(DataFrame.union, near)
-        parts.append(new.join(close, (F.col("xp") == F.col("a")) & (F.col("xb") == F.col("batch_no"))).join(old, F.col("b") == F.col("yp")).where(earlier).select("x", "y"))
-    return reduce(DataFrame.union, parts).select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b")).distinct()
+    stage.delete(at)
+    if not found:
+        return spark.createDataFrame([], "file_id_a long, file_id_b long")
+    return reduce(DataFrame.union, found)

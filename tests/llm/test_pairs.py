@@ -54,27 +54,39 @@ def test_batches_without_anything_new(spark):
     assert [tuple(r) for r in history.batch_pairs(spark, spark.createDataFrame([(2, 1, "a", None), (1, 1, "a", None), (3, 1, None, None)], schema)).collect()] == [(1, 2)]
 
 
-def test_runs_are_merged(spark):
-    index = history.HistoryIndex(spark, fan=2, buckets=4)
-    df = lambda *v: spark.createDataFrame([(x,) for x in v], "value long")
-    index.load(df(0, None, 0))
-    found = [{tuple(r) for r in index.add(df(1 << k, 1 << k)).collect()} for k in range(5)]
-    assert found == [{(1 << k, 0), *((1 << k, 1 << j) for j in range(k))} for k in range(5)]
-    assert sorted(r.level for r in index.runs) == [0, 2, 99]
-    index.close()
-    assert not index.runs
-
-
-def test_runs_are_opened_again(spark):
-    df = lambda *v: spark.createDataFrame([(x,) for x in v], "value long")
-    index = history.HistoryIndex(spark, fan=3, buckets=4)
-    index.load(df(0, 7 << 20))
-    index.add(df(1, 1 << 40))
+def records(spark, rows):
+    return spark.createDataFrame([(k, s, None if p is None else signed(p)) for k, s, p in rows], "file_id long, sha256 string, phash long")
+
+
+def test_runs_are_merged_and_opened_again(spark, monkeypatch):
+    monkeypatch.setattr(history, "FILE_ROWS", 8)  # many files a run
+    index = history.HistoryIndex(spark, fan=3)
+    index.load(records(spark, [(100, "h", 0), (101, "h", 0), (102, None, None)]))
+    pairs = lambda i, *rows: {tuple(r) for r in i.add(records(spark, rows)).collect()}
+    assert pairs(index, (1, "a", 1), (2, "a", 0xFFFF << 40)) == {(1, 100), (1, 101), (1, 2)}
+    assert len(index.runs) == 2 and len(index.runs[0].fences) > 2
+    assert pairs(index, (3, None, 3)) == {(1, 3), (3, 100), (3, 101)}
+    assert len(index.runs) == 1  # three of like size became one
     again = history.HistoryIndex.open(spark, index.manifest())
-    assert {tuple(r) for r in again.add(df(3)).collect()} == {(3, 0), (3, 1), (3, 1 << 40), (3, 7 << 20)}
-    plan = spark.table(again.runs[0].table).join(spark.table(again.runs[1].table).hint("shuffle_hash"), "window")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan  # same buckets: nothing is shuffled
+    assert pairs(again, (4, "h", None), (5, "q", (0xFFFF << 40) ^ 7), (6, "q", (0xFFFF << 40) ^ 7)) == {(4, 100), (4, 101), (2, 5), (2, 6), (5, 6)}
     again.close()
+    assert not again.runs
+
+
+def test_a_batch_reads_as_much_of_any_history(spark, monkeypatch):
+    """A small batch reads no more files of a history ten times as large: some for each of its keys, whatever the runs hold."""
+    monkeypatch.setattr(history, "FILE_ROWS", 400)
+    read = []
+    for n in (3_000, 30_000):
+        rng = random.Random(n)
+        index = history.HistoryIndex(spark, expected=100_000)
+        index.load(records(spark, [(k, f"s{k}", rng.getrandbits(64)) for k in range(n)]))
+        files = sum(len(r.fences) for r in index.runs)
+        assert index.add(records(spark, [(10**6, "s7", rng.getrandbits(64))])).count() == 1
+        read.append((index.read, files))
+        index.close()
+    (few, all_few), (more, all_more) = read
+    assert all_more > 8 * all_few and more[0] <= 2 * (index.plan.keys() + 3) and more[0] < 0.1 * all_more and more[1] <= 1.5 * few[1]
 
 
 def brute_neighbours(rows, k, radius):
