@@ -2,8 +2,9 @@
 
 A text is folded to plain lower-case letters (accents, odd blanks and hyphens, combining marks and doubly encoded letters
 undone) with a map back to its own characters. One Aho-Corasick pass over the folded text finds the anchors: at-signs and
-their spelled-out forms, street words, and the words that can be names. Each anchor is expanded by a deterministic parser of its kind; numbers are
-recognised by shape and accepted or refused by the cue before them. Spans don't overlap: addresses of mail come
+their spelled-out forms, schemes (mailto:, tel:), cues of identity numbers, digits, street words, and the words that can be names. Each
+anchor is expanded by a deterministic parser of its kind. A number is one of a person if it has a listed shape and no cue of another kind of number
+stands before it, or, whatever its shape, if a cue of identity numbers does. Spans don't overlap: addresses of mail come
 first, then street addresses, identity numbers, phone numbers, names.
 
 The words that can be names are learned from the list of known people: each known name is cut where its two parts are
@@ -17,6 +18,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,6 @@ KINDS = ("email", "address", "id_number", "phone", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "address": "[ADDRESS]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "name": "[NAME]"}
 #: People whose names are taken from the list; a longer list is refused, as it's sent to every task.
 MOST_PEOPLE = 100_000
-_MOST_WORDS = 400_000
 
 # --- folding -----------------------------------------------------------------------------------------------------------
 
@@ -88,8 +89,16 @@ def fold_word(word: str) -> str:
 # --- words that can be names -------------------------------------------------------------------------------------------
 
 
-def name_words(names: list[str], least: int = 4) -> set[str]:
-    """The folded names, and all stems with all endings that each occur in at least ``least`` of them."""
+class NameWords(NamedTuple):
+    """Words that can be names: listed ones, and those made of a stem and an ending."""
+
+    whole: frozenset[str]
+    stems: frozenset[str]
+    endings: frozenset[str]
+
+
+def name_words(names: list[str], least: int = 4) -> NameWords:
+    """The folded names, and the stems and endings that each occur in at least ``least`` of them."""
     words = {w for n in names if n for w in re.split(r"[\s\-]+", fold_word(n)) if w.isalpha() and len(w) > 2}
     stems, endings = Counter(), Counter()
     cuts = lambda w: range(3, len(w) - 1)
@@ -102,8 +111,8 @@ def name_words(names: list[str], least: int = 4) -> set[str]:
             k = max(cuts(w), key=lambda k: (stems[w[:k]] * endings[w[k:]], k))
             best_stems[w[:k]] += 1
             best_endings[w[k:]] += 1
-    a, b = ([x for x, n in c.items() if n >= least] for c in (best_stems, best_endings))
-    return words | ({x + y for x in a for y in b} if len(a) * len(b) <= _MOST_WORDS else set())
+    often = lambda c: frozenset(x for x, n in c.items() if n >= least)
+    return NameWords(frozenset(words), often(best_stems), often(best_endings))
 
 
 # --- anchors -----------------------------------------------------------------------------------------------------------
@@ -113,9 +122,21 @@ _AT = ("@", "(at)", "[at]", "{at}", " at ")
 _STREET_LAST = ("street", "st", "road", "rd", "lane", "ln", "avenue", "ave", "quay", "close", "drive", "court", "square", "terrace", "gardens", "way", "hill", "place")
 _STREET_JOINED = ("straße", "strasse", "gasse", "weg", "allee", "platz", "ufer", "damm", "ring")
 _STREET_FIRST = ("rue", "impasse", "place", "chemin", "avenue", "boulevard", "allee", "quai", "route", "calle", "avenida", "plaza", "paseo", "camino", "carrera", "via", "piazza")
-_NOT_PERSONAL = re.compile(r"(?:serial|s/n|seriennummer|device|order|invoice|file|album|ticket|model|version|scan)(?:\s+(?:no|number|nr|id)\b)?\.?\s*[:#]?\s*$")
+_SCHEMES = ("mailto:", "tel:", "sms:")
+#: Fixed words: what numbers of a person are called in the languages at hand, folded.
+_ID_CUES = (
+    "identity card", "identity no", "identity number", "id card", "id no", "id number", "national id", "passport", "social security", "ssn", "national insurance", "ni number", "nino", "tax id",
+    "personalausweis", "ausweisnummer", "reisepass", "passnummer", "sozialversicherungsnummer", "steuer-id", "carte d'identite", "passeport", "securite sociale", "numero fiscal",
+    "dni", "nif", "pasaporte", "documento de identidad", "seguridad social", "codice fiscale", "carta d'identita", "passaporto", "henkilotunnus", "henkilokortti",
+)
 
 _G = r"[ \t\r\n]{1,3}"  # a gap between words that belong together
+_G0 = r"[ \t\r\n]{0,3}"
+_NOT_PERSONAL = re.compile(rf"(?:serial|s/n|seriennummer|device|order|invoice|file|album|ticket|model|version|scan)(?:{_G}(?:no|number|nr|id)\b)?\.?{_G0}[:#]?{_G0}$")
+#: Characters that a match of _NOT_PERSONAL, _HOUSE_BEFORE, _INITIALS or _BETWEEN can have at most: none lies farther back.
+_LONGEST = 48
+#: What stands between a cue and its number, and a number of any shape: at least five digits in one word, perhaps with hyphens, that are no date.
+_AFTER_CUE = re.compile(rf"(?:{_G}(?:no|nr|num|number|numero|nummer|card)(?![a-z]))?\.?{_G0}[:#]?{_G0}(?![0-9]{{1,4}}-[0-9]{{1,2}}-[0-9]{{1,4}}(?![0-9]))(?=(?:[a-z\-]*[0-9]){{5}})([a-z0-9]+(?:-[a-z0-9]+)*)(?![a-z0-9_]|[/.@][a-z0-9])")
 _LOCAL = re.compile(r"[a-z0-9](?:[a-z0-9._+\-]*[a-z0-9])?$")
 _LABEL = r"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?"
 _DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|\(dot\)|\[dot\]|\{{dot\}}){_LABEL})*(?:\.|\(dot\)|\[dot\]|\{{dot\}})[a-z]{{2,24}}(?![a-z0-9])")
@@ -128,6 +149,12 @@ _ARTICLE = re.compile(r"(?:the|a|an|my|our|your|this|that)\s")
 _AFTER_STREET = re.compile(_UNIT)
 _TOWN_POST = re.compile(rf"(,{_G}|{_G}|[ ]?\r?\n)([a-z]+(?:[\-'][a-z]+)*)((?:[ ][a-z]+(?:[\-'][a-z]+)*)?)")
 _POST_ONLY = re.compile(_POST)
+#: What follows a street without being its town: a floor, an article, a state's or postal code, the name of a field; and what ends a phrase.
+_FLOOR = re.compile(rf"(?:ground|first|second|third|fourth|fifth|top|upper|lower|[0-9]{{1,2}}(?:st|nd|rd|th)){_G}floor(?![a-z])|floor(?![a-z])")
+_ARTICLES = ("the", "a", "an")
+_CODE = re.compile(rf"[a-z]{{1,2}}(?:[0-9]|{_G}[0-9]{{5}}(?![0-9]))")
+_FIELD = re.compile(r":|[ ](?:no\.?|id)\b|[ ]?(?:no\.?|number|nr\.?)[ ]?:")
+_PHRASE_END = re.compile(r"[ ]?(?:[\r\n;,.!?)]|$)")
 _POST_TOWN = re.compile(rf",?{_G}[0-9]{{5}}{_G}([a-z]+(?:[\-'][a-z]+)*)((?:{_G}[a-z]+(?:[\-'][a-z]+)*)?)")
 _HOUSE_AFTER = re.compile(rf"{_G}[0-9]{{1,4}}(?:[ ]?[a-z])?(?![a-z0-9])")
 _FIRST_STREET = re.compile(rf"({_G}(?:(?:de|des|du|la|le|les|del|de la|de los|de las|l'|d'|los|las|el){_G}?){{0,3}}[a-z'\-]+(?:{_G}[a-z'\-]+)??)(,{_G}[0-9]{{1,4}}[a-z]?(?![a-z0-9])|(?=,{_G}[0-9]{{5}}(?![0-9])|[.;\n]|,|$))")
@@ -148,6 +175,8 @@ _PHONES = re.compile(
     rf"|[2-9][0-9]{{2}}-[0-9]{{4}}"
     rf")(?![0-9a-z_]|[\-/.:][0-9])"
 )
+#: After a scheme the number needs no shape.
+_PHONES_AFTER_SCHEME = re.compile(r"\+?[0-9](?:[ \-.()]{0,2}[0-9]){5,14}(?![0-9a-z_])")
 #: Digits of a whole number with its country code, where they are fixed.
 _LENGTH = {"1": 11, "33": 11, "34": 11, "44": 12, "7": 11}
 _PARTICLES = r"(?:van der|van den|van de|van|von der|von|vom|de la|de los|de|del|della|di|da|dos|du|le|la|ter|ten|zu|af|av|bin|ben|al|el)"
@@ -159,29 +188,50 @@ _BETWEEN = re.compile(rf"{_G}(?:(?:[a-z]\.{_G}?){{1,3}})?(?:{_PARTICLES}{_G})?$"
 class Finder:
     """Finds the spans of one text; built once per process from the words that can be names."""
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]) -> None:
+    def __init__(self, given: NameWords, family: NameWords) -> None:
         import ahocorasick
 
-        self.given, self.family = given, family
         self.anchors = ahocorasick.Automaton()
+        self.words = {"given": given, "family": family}
+        self.longest = {k: max(map(len, w.endings), default=0) for k, w in self.words.items()}
         anchors: dict[str, set[str]] = {}
-        for words, kind in ((_AT, "at"), (_STREET_LAST, "last"), ([_plain_word(w) for w in _STREET_JOINED], "joined"), (_STREET_FIRST, "first"), (given, "given"), (family, "family")):
+        listed = (
+            (_AT, "at"), (_SCHEMES, "scheme"), (_ID_CUES, "cue"), ("0123456789", "digit"), (_STREET_LAST, "last"), ([_plain_word(w) for w in _STREET_JOINED], "joined"), (_STREET_FIRST, "first"),
+            (given.whole, "given"), (family.whole, "family"), (given.stems, "given+"), (family.stems, "family+"),
+        )
+        for words, kind in listed:
             for w in words:
                 anchors.setdefault(w, set()).add(kind)
         for w, kinds in anchors.items():
-            self.anchors.add_word(w, (len(w), kinds))
+            self.anchors.add_word(w, (len(w), tuple(kinds)))
         self.anchors.make_automaton()
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of the details in a text, in order, none overlapping."""
-        t, at = fold(text)
-        anchors: dict[str, list[tuple[int, int]]] = {k: [] for k in ("at", "last", "joined", "first", "given", "family")}
+    def _anchors(self, t: str) -> dict[str, list[tuple[int, int]]]:
+        """(start, stop) of the anchors of each kind, in order; stems are completed to words."""
+        out: dict[str, dict[int, int]] = {k: {} for k in ("at", "scheme", "cue", "digit", "last", "joined", "first", "given", "family")}
         for end, (n, kinds) in self.anchors.iter(t):
             start, stop = end - n + 1, end + 1
+            begins = not (start and t[start - 1].isalpha())
+            ends = not (stop < len(t) and t[stop].isalpha())
             for kind in kinds:
-                if kind == "at" or not (stop < len(t) and t[stop].isalpha()):  # a word ends here
-                    if kind in ("at", "joined") or not (start and t[start - 1].isalpha()):  # and begins here
-                        anchors[kind].append((start, stop))
+                if kind == "digit":
+                    if not (start and t[start - 1].isdigit()):
+                        out[kind][start] = stop
+                elif kind == "at" or (kind == "scheme" and begins) or (ends and (begins or kind == "joined")):
+                    if kind in out:
+                        out[kind][start] = stop
+                if begins and not ends and kind in ("given+", "family+"):
+                    kind, last = kind[:-1], stop
+                    while last < len(t) and t[last].isalpha() and last - stop <= self.longest[kind]:
+                        last += 1
+                    if t[stop:last] in self.words[kind].endings:
+                        out[kind][start] = last
+        return {k: sorted(v.items()) for k, v in out.items()}
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the details in a text, in order, none overlapping."""
+        t, at = fold(text)
+        anchors = self._anchors(t)
         self.text, self.t, self.at = text, t, at
         taken = bytearray(len(t))
         out: list[tuple[int, int, str]] = []
@@ -196,16 +246,30 @@ class Finder:
         for kind, parse in (("last", self._number_first), ("joined", self._joined), ("first", self._first)):
             for start, stop in anchors[kind]:
                 take(parse(start, stop), "address")
-        for m in _IDS.finditer(t):
-            if not _NOT_PERSONAL.search(t, max(0, m.start() - 24), m.start()):
-                take(m.span(), "id_number")
-        for m in _PHONES.finditer(t):
-            take(self._phone(m), "phone")
+        done = 0
+        for start, _ in anchors["digit"]:  # a shape begins with the digits, or with two letters before them
+            if start >= done and (m := _IDS.match(t, max(0, start - 3)) or _IDS.match(t, max(0, start - 2)) or _IDS.match(t, start)):
+                done = m.end()
+                if not self._labelled(m.start()):
+                    take(m.span(), "id_number")
+        for start, stop in anchors["cue"]:
+            if not self._labelled(start) and (m := _AFTER_CUE.match(t, stop)):
+                take(m.span(1), "id_number")
+        schemes, done = {stop for _, stop in anchors["scheme"]}, 0
+        for start, _ in anchors["digit"]:
+            begin = start - 1 if start and t[start - 1] in "+(" else start
+            if begin >= done and (m := _PHONES.match(t, begin) or _PHONES.match(t, start) or (_PHONES_AFTER_SCHEME.match(t, begin) if begin in schemes else None)):
+                done = m.end()
+                take(self._phone(m), "phone")
         for span in self._names(anchors["given"], anchors["family"], taken):
             take(span, "name")
         back = (lambda a, b: (at[a], at[b])) if at else (lambda a, b: (a, b))
         return sorted((*back(a, b), kind) for a, b, kind in out)
 
+    def _labelled(self, k: int) -> bool:
+        """Whether a cue of numbers that aren't personal stands right before a place."""
+        return bool(_NOT_PERSONAL.search(self.t, max(0, k - _LONGEST), k))
+
     def _own(self, k: int) -> str:
         """The character of the text itself at a place of the folded one."""
         return self.text[self.at[k] if self.at else k]
@@ -246,20 +310,25 @@ class Finder:
         """The end of a town and postal code that follow at end, or end."""
         t = self.t
         m = _TOWN_POST.match(t, end)
-        if m and self._upper(m.start(2)) and m[2] not in ("second", "first", "third", "ground", "floor", "opens", "the"):
+        if m and self._upper(m.start(2)) and not _FLOOR.match(t, m.start(2)) and m[2] not in _ARTICLES:
             last = m.end(2)
-            if m[3] and self._upper(m.start(3) + 1) and m[3][1:] not in ("opens", "second", "the", "zq", "qx") and not re.match(rf"[ ][a-z]{{2}}(?:[0-9]|{_G}[0-9]{{5}})", t[m.start(3) :]):
+            if m[3] and self._upper(m.start(3) + 1) and m[3][1:] not in _ARTICLES and not _CODE.match(t, m.start(3) + 1) and (not self._shouted(m.start(2), last) or _PHRASE_END.match(t, _POST_ONLY.match(t, m.end(3)).end())):
                 last = m.end(3)
             post = _POST_ONLY.match(t, last)
-            after = t[post.end() : post.end() + 1]
-            line = "\n" in m[1]
-            if (post.end() > last or not line or re.match(r"[ ]?(?:[\r\n;,.]|$|opens)", t[post.end() :])) and after != ":" and not (after == " " and re.match(r"[ ](?:no\.?|id)\b", t[post.end() :])):
+            if _FIELD.match(t, post.end()):  # the name of a field of a form, not a town
+                return end
+            if post.end() > last or "\n" not in m[1] or _PHRASE_END.match(t, post.end()):
                 return post.end()
             return end
         return _POST_ONLY.match(t, end).end()
 
+    def _shouted(self, a: int, b: int) -> bool:
+        """Whether a word is in capitals throughout, so that capitals tell nothing of the next one."""
+        own = [self._own(k) for k in range(a, b)]
+        return len(own) > 1 and all(c.isupper() for c in own if c.isalpha())
+
     def _number_first(self, start: int, stop: int) -> tuple[int, int] | None:
-        m = _NUMBER_FIRST.search(self.t, max(0, start - 60), start)
+        m = _NUMBER_FIRST.search(self.t, self._words_before(start, 4), start)
         words = [m.start(1) + w.start() for w in re.finditer(r"[a-z'\-]+", m[1])] if m else []
         if not m or not self._upper(start) or not all(self._upper(k) for k in words) or _ARTICLE.match(m[1]):
             return None
@@ -267,6 +336,20 @@ class Finder:
             stop += 1
         return m.start(), self._town(_AFTER_STREET.match(self.t, stop).end())
 
+    def _words_before(self, k: int, most: int) -> int:
+        """The start of up to so many words before a place, each set off by a gap."""
+        t = self.t
+        for _ in range(most):
+            gap = k
+            while gap and k - gap < 3 and t[gap - 1] in " \t\r\n":
+                gap -= 1
+            if gap == k:
+                break
+            k = gap
+            while k and t[k - 1] not in " \t\r\n":
+                k -= 1
+        return k
+
     def _joined(self, start: int, stop: int) -> tuple[int, int] | None:
         t, begin = self.t, start
         while begin and (t[begin - 1].isalpha() or t[begin - 1] == "-"):
@@ -286,7 +369,7 @@ class Finder:
     def _first(self, start: int, stop: int) -> tuple[int, int] | None:
         t = self.t
         street = _FIRST_STREET.match(t, stop)
-        before = _HOUSE_BEFORE.search(t, max(0, start - 12), start)
+        before = _HOUSE_BEFORE.search(t, max(0, start - _LONGEST), start)
         if not street or not (before or street[2]):
             return None
         if not before and not self._upper(start):
@@ -305,14 +388,14 @@ class Finder:
     def _phone(self, m: re.Match) -> tuple[int, int] | None:
         t, (a, b) = self.t, m.span()
         digits = lambda x: sum(c.isdigit() for c in x)
-        if m["cc"]:
+        if m.re is _PHONES and m["cc"]:
             extra = 2 if m["cc"] == "00" else 0
             most = _LENGTH.get(m["country"], 15) + extra + t[a:b].count("(0)")
             while digits(t[a:b]) > most and re.search(r"[ \-./][0-9]+$", t[a:b]):
                 b = a + re.search(r"[ \-./][0-9]+$", t[a:b]).start()
             if digits(t[a:b]) < 8 + extra:
                 return None
-        return None if _NOT_PERSONAL.search(t, max(0, a - 24), a) else (a, b)
+        return None if self._labelled(a) else (a, b)
 
     def _names(self, given: list[tuple[int, int]], family: list[tuple[int, int]], taken: bytearray) -> list[tuple[int, int]]:
         """Names as written together: given [initials] [particle] family[-family]; initials family; family, given; or one word alone."""
@@ -331,7 +414,7 @@ class Finder:
                 out.append((a, end))
             else:
                 end = self._doubled(a, f)
-                before = _INITIALS.search(t, max(0, a - 24), a)
+                before = _INITIALS.search(t, max(0, a - _LONGEST), a)
                 begin = before.start() if before and not any(taken[before.start() : a]) else a
                 if begin == a:
                     comma = _COMMA.match(t, end)
@@ -345,7 +428,7 @@ class Finder:
     def _family_after(self, end: int, f: dict[int, int]) -> int | None:
         """The end of a family name that follows a given one, if one does."""
         t = self.t
-        for a in range(end + 1, min(end + 24, len(t))):
+        for a in range(end + 1, min(end + _LONGEST, len(t))):
             if a in f and _BETWEEN.match(t[end:a]):
                 return self._doubled(a, f)
         return None
@@ -363,7 +446,7 @@ def _plain_word(word: str) -> str:
 
 @lru_cache(maxsize=2)
 def finder(given: tuple[str, ...], family: tuple[str, ...]) -> Finder:
-    return Finder(frozenset(name_words(list(given))), frozenset(name_words(list(family))))
+    return Finder(name_words(list(given)), name_words(list(family)))
 
 
 def known_names(people: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
