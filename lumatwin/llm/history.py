@@ -7,8 +7,9 @@ rows, with the key range of each file known (its fence).
 
 A batch becomes a small sorted run of its own. Its keys are laid beside the fences of the older runs, and only those files are read in which
 one of its keys can be; within them, only rows of the same windows are compared. So what a batch reads grows with its own keys, not with the
-history. Runs of like size are merged when there are ``fan`` of them, so that a row is written again only as often as the history has grown
-by that factor. The runs hold all that's needed to name pairs of files: another session opens them and goes on.
+history. Several batches that wait are accepted in one pass: each is a run, and meets the older ones and those before it. Runs of like size are
+merged when there are ``fan`` of them, so that a row is written again only as often as the history has grown by that factor. The runs hold
+all that's needed to name pairs of files: another session opens them and goes on.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from lumatwin.stage import Stage
 FILE_ROWS = 200_000
 #: Rows below which runs count as of one size.
 LEAST_ROWS = 100_000
+#: Rows of new batches up to which their window keys are sent to every task instead of shuffling what they meet: 24 bytes each.
+MOST_BROADCAST = 1_000_000
 #: The upper byte of a key: windows, whole hashes, SHA-256.
 WINDOW, WHOLE, SHA = 0, 1, 2
 SCHEMA = "key long, value long, sha string, file_id long"
@@ -63,16 +66,44 @@ def _sha(sha: Column) -> Column:
     return _key(SHA, F.xxhash64(sha))
 
 
-def _long_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of a part of a sorted run that stand in more than half of hamming.CROWD rows on end: all with more than CROWD rows are among them, as a key lies in neighbouring files."""
-    last, n = None, 0
+class _Spans:
+    """The fences of runs, laid out for searching; a file is known by its place in ``files``."""
+
+    def __init__(self, runs: list[Run]) -> None:
+        self.files = [f for r in runs for f in r.fences]
+        self.runs, at = [], 0
+        for r in runs:  # within a run, ranges ascend
+            self.runs.append((at, np.array([f[1] for f in r.fences]), np.array([f[2] for f in r.fences])))
+            at += len(r.fences)
+
+    def hits(self, keys: np.ndarray, seen: np.ndarray) -> None:
+        """Marks the files in whose ranges some of the keys lie."""
+        for start, low, high in self.runs:
+            first, last = np.searchsorted(high, keys, "left"), np.searchsorted(low, keys, "right")
+            marks, some = np.zeros(len(low) + 1, np.int64), first < last
+            np.add.at(marks, first[some], 1)
+            np.add.at(marks, last[some], -1)
+            seen[start : start + len(low)] |= np.cumsum(marks)[:-1] > 0
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch], spans: _Spans, crowd: int) -> Iterator[pa.RecordBatch]:
+    """(hit, crowded) of a part of a sorted run: numbers of files in whose ranges its keys lie, and windows that stand in more than half of ``crowd`` rows on end.
+
+    All windows with more than crowd rows in a run are among these, as a key lies in neighbouring files.
+    """
+    seen, last, n = np.zeros(len(spans.files), bool), None, 0
     for x in batches:
         keys, counts = np.unique(x["key"].to_numpy(), return_counts=True)
-        if len(keys) and keys[0] == last:
+        if not len(keys):
+            continue
+        spans.hits(keys, seen)
+        if keys[0] == last:
             counts[0] += n
-        if len(keys):
-            last, n = keys[-1], counts[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > hamming_join.CROWD // 2])], ["key"])
+        last, n = keys[-1], counts[-1]
+        crowded = keys[(counts > crowd // 2) & (keys < WHOLE << 56)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(crowded), pa.int64()), pa.array(crowded)], ["hit", "crowded"])
+    hit = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(hit), pa.nulls(len(hit), pa.int64())], ["hit", "crowded"])
 
 
 @dataclass
@@ -98,37 +129,54 @@ class HistoryIndex:
     # --- runs ---
 
     def _keys(self, records: DataFrame) -> DataFrame:
-        """records(file_id, sha256, phash) under all their keys: each hash once under its windows, each file under its whole hash and its SHA-256."""
+        """records(batch_no, file_id, sha256, phash) under all their keys: each hash of a batch once under its windows, each file under its whole hash and its SHA-256."""
         hashed = records.where("phash IS NOT NULL")
-        shared = hamming_join.windows(hashed.select(F.col("phash").alias("value")).distinct(), "value", self.plan, "key")
+        shared = hamming_join.windows(hashed.select("batch_no", F.col("phash").alias("value")).distinct(), "value", self.plan, "key")
         none, nobody = F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("file_id")
         parts = [
-            shared.select("key", "value", none, nobody),
-            hashed.select(_whole(F.col("phash")).alias("key"), F.col("phash").alias("value"), none, "file_id"),
-            records.where("sha256 IS NOT NULL").select(_sha(F.col("sha256")).alias("key"), F.lit(None).cast("long").alias("value"), F.col("sha256").alias("sha"), "file_id"),
+            shared.select("batch_no", "key", "value", none, nobody),
+            hashed.select("batch_no", _whole(F.col("phash")).alias("key"), F.col("phash").alias("value"), none, "file_id"),
+            records.where("sha256 IS NOT NULL").select("batch_no", _sha(F.col("sha256")).alias("key"), F.lit(None).cast("long").alias("value"), F.col("sha256").alias("sha"), "file_id"),
         ]
         return reduce(DataFrame.unionByName, parts)
 
-    def _save(self, keyed: DataFrame) -> Run | None:
-        """keyed as a sorted run. Files are ranges of keys, so one key is in one file, or in neighbouring ones if it has more rows than a file."""
+    def _save(self, keyed: DataFrame, rows: int) -> list[Run]:
+        """keyed(batch_no, ...), about so many rows, as one sorted run for each batch. Files are ranges of keys, so one key is in one file, or in neighbouring ones if it has more rows than a file."""
         at = self.stage.path("run")
-        keyed.repartitionByRange("key", F.xxhash64("file_id", "value")).sortWithinPartitions("key").write.option("maxRecordsPerFile", FILE_ROWS).parquet(at)
-        rows = self.spark.read.schema(SCHEMA).parquet(at).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rows"))
-        fences = sorted(((r.file, r.low, r.high, r.rows, r.bytes) for r in rows.collect()), key=lambda f: f[1:3])  # one row a file
-        return self._run(at, fences) if fences else None
-
-    def _run(self, at: str, fences: list) -> Run:
-        run = Run(at, sum(f[3] for f in fences), fences)
-        if run.rows > hamming_join.CROWD:
-            found = self.stage.write(self.spark.read.schema(SCHEMA).parquet(at).where(F.col("key") < F.lit(WHOLE << 56)).select("key").mapInArrow(_long_stretches, "key long"), "crowded")
-            run.crowded = None if found.isEmpty() else found
-        return run
+        cut = keyed.repartitionByRange(-(-rows // FILE_ROWS), "batch_no", "key", F.xxhash64("file_id", "value")) if rows > FILE_ROWS else keyed.coalesce(1)
+        cut.sortWithinPartitions("batch_no", "key").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("batch_no").parquet(at)
+        found = self.spark.read.schema(f"{SCHEMA}, batch_no int").parquet(at).groupBy("batch_no", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        files: dict[int, list] = {}
+        for r in found.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).collect():  # one row a file
+            files.setdefault(r.batch_no, []).append((r.file, r.low, r.high, r.n, r.bytes))
+        return [Run(f"{at}/batch_no={k}", sum(f[3] for f in v), sorted(v, key=lambda f: f[1:3])) for k, v in sorted(files.items())]
+
+    def _survey(self, runs: list[Run], older: list[Run]) -> list[str]:
+        """Reads the keys of new runs once: notes their crowded windows, and returns the files of older runs in whose ranges some key lies. Only numbers of files reach the driver."""
+        if not runs:
+            return []
+        spans, crowd = _Spans(older), hamming_join.CROWD
+        rows = self.spark.read.schema(SCHEMA).parquet(*[r.path for r in runs]).select("key")
+        found = self.stage.write(rows.mapInArrow(lambda batches: _surveyed(batches, spans, crowd), "hit long, crowded long"), "survey")
+        seen = found.agg(F.collect_set("hit").alias("hits"), F.count("crowded").alias("n")).first()  # a number for each file at most
+        if seen.n:
+            crowded = found.where("crowded IS NOT NULL").select(F.col("crowded").alias("key"))
+            for r in runs:
+                r.crowded = crowded
+        return self._chosen(spans, seen.hits)
+
+    def _chosen(self, spans: _Spans, hits: list[int]) -> list[str]:
+        fences = [spans.files[n] for n in sorted(hits)]
+        self.read = (self.read[0] + len(fences), self.read[1] + sum(f[4] for f in fences))
+        return [f[0] for f in fences]
 
     def manifest(self) -> dict:
         """What open() needs to go on with the runs in another session; their fences are written beside them."""
         for run in self.runs:
             at = f"{run.path}.fences"
             self.spark.createDataFrame(run.fences, "file string, low long, high long, rows long, bytes long").coalesce(1).write.mode("overwrite").parquet(at)
+            crowded = run.crowded if run.crowded is not None else self.spark.createDataFrame([], "key long")
+            crowded.write.mode("overwrite").parquet(f"{run.path}.crowded")
         return {"radius": self.radius, "fan": self.fan, "expected": self.expected, "runs": [r.path for r in self.runs]}
 
     @classmethod
@@ -137,124 +185,111 @@ class HistoryIndex:
         index = cls(spark, manifest["radius"], manifest["fan"], manifest["expected"])
         for path in manifest["runs"]:
             fences = sorted((tuple(r) for r in spark.read.parquet(f"{path}.fences").collect()), key=lambda f: f[1:3])
-            index.runs.append(index._run(path, fences))
+            index.runs.append(Run(path, sum(f[3] for f in fences), fences))
+            crowded = spark.read.schema("key long").parquet(f"{path}.crowded")
+            index.runs[-1].crowded = None if crowded.isEmpty() else crowded
         return index
 
     def _drop(self, run: Run) -> None:
         self.stage.delete(run.path)
         self.stage.delete(f"{run.path}.fences")
+        self.stage.delete(f"{run.path}.crowded")
 
     def close(self) -> None:
         for run in self.runs:
             self._drop(run)
         self.runs = []
 
-    def _compact(self) -> None:
-        """Merges runs of like size: of fan runs of one level one of a higher one is made."""
+    def compact(self) -> None:
+        """Merges runs of like size: of fan runs of one level one of a higher one is made. Called before new ones come."""
         while True:
             by = {k: [r for r in self.runs if r.level == k] for k in {r.level for r in self.runs}}
             full = next((runs for _, runs in sorted(by.items()) if len(runs) >= self.fan), None)
             if full is None:
                 return
-            rows = self.spark.read.schema(SCHEMA).parquet(*[r.path for r in full])
+            rows = self.spark.read.schema(SCHEMA).parquet(*[r.path for r in full]).withColumn("batch_no", F.lit(0))
             windows = rows.where(F.col("key") < F.lit(WHOLE << 56)).distinct()
-            merged = self._save(windows.unionByName(rows.where(F.col("key") >= F.lit(WHOLE << 56))))
-            self.runs = [r for r in self.runs if r not in full] + [merged]
+            merged = self._save(windows.unionByName(rows.where(F.col("key") >= F.lit(WHOLE << 56))), sum(r.rows for r in full))
+            self._survey(merged, [])
+            self.runs = [r for r in self.runs if r not in full] + merged
             for run in full:
                 self._drop(run)
 
     # --- lookups ---
 
-    def _files(self, keys: DataFrame) -> list[str]:
-        """The files of runs in whose ranges some key lies. Only their numbers reach the driver, never more than there are files."""
-        fences = [f for r in self.runs for f in r.fences]
-        spans, at = [], 0
-        for r in self.runs:  # within a run, ranges ascend
-            spans.append((at, np.array([f[1] for f in r.fences]), np.array([f[2] for f in r.fences])))
-            at += len(r.fences)
-
-        def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(at, bool)
-            for x in batches:
-                k = np.unique(x["key"].to_numpy())
-                for start, low, high in spans:
-                    first, last = np.searchsorted(high, k, "left"), np.searchsorted(low, k, "right")
-                    marks = np.zeros(len(low) + 1, np.int64)
-                    some = first < last
-                    np.add.at(marks, first[some], 1)
-                    np.add.at(marks, last[some], -1)
-                    seen[start : start + len(low)] |= np.cumsum(marks)[:-1] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["n"])
-
-        wanted = [r.n for r in keys.select("key").mapInArrow(hit, "n long").distinct().collect()]
-        self.read = (self.read[0] + len(wanted), self.read[1] + sum(fences[n][4] for n in wanted))
-        return [fences[n][0] for n in wanted]
-
-    def _rows(self, keys: DataFrame) -> DataFrame:
-        files = self._files(keys)
+    def _old(self, files: list[str]) -> DataFrame:
+        """The rows of some files of older runs, as of a batch before all others."""
         reader = self.spark.read.schema(SCHEMA)
-        return reader.parquet(*files) if files else self.spark.createDataFrame([], SCHEMA)
-
-    def _near(self, fresh: DataFrame) -> DataFrame:
-        """(a, b): the different hashes b accepted so far (these included) within the radius of each new hash a."""
-        keyed = self.stage.write(hamming_join.windows(fresh, "a", self.plan, "key"), "asked")
-        rows = self._rows(keyed).where(F.col("key") < F.lit(WHOLE << 56)).select("key", F.col("value").alias("b"))
-        on, a, b = ["key"], F.col("a"), F.col("b")
-        near = (a != b) & (hamming(a, b) <= self.radius) & hamming_join.first_common(a, b, F.col("key"), self.plan)
-        crowded = [r.crowded for r in self.runs if r.crowded is not None]
-        if crowded:
-            keys = reduce(DataFrame.union, crowded).distinct()  # a bound on the window's rows in one run splits it in all
-            keyed, rows = hamming_join.split(keyed, keys, on, "a", self.plan), hamming_join.split(rows, keys, on, "b", self.plan)
-            on, near = ["key", "inner"], near & hamming_join.first_inner(a, b, F.col("inner"), self.plan)
-        # the same hash may stand in several runs
-        return rows.join(keyed, on).where(near).select("a", "b").distinct()
+        return (reader.parquet(*files) if files else self.spark.createDataFrame([], SCHEMA)).withColumn("batch_no", F.lit(-1))
 
-    def load(self, records: DataFrame) -> None:
+    def load(self, records: DataFrame, count: int | None = None) -> None:
         """Accepts records(file_id, sha256, phash) without comparing them: the history before the first batch."""
-        if run := self._save(self._keys(records)):
-            self.runs.append(run)
-            self._compact()
+        self.compact()
+        runs = self._save(self._keys(records.withColumn("batch_no", F.lit(0))), (count if count is not None else records.count()) * (self.plan.keys() + 2))
+        self._survey(runs, [])
+        self.runs += runs
 
     def add(self, records: DataFrame) -> DataFrame:
         """Accepts a batch records(file_id, sha256, phash), one row per file. Returns the pairs (file_id_a, file_id_b), a < b, of a file of the batch and another one, accepted before or with it, that have equal sha256 or hashes within the radius."""
+        return self.add_all(records.withColumn("batch_no", F.lit(0)))
+
+    def add_all(self, records: DataFrame, count: int | None = None) -> DataFrame:
+        """The same for several batches in the order of their batch_no, one row per file: a file is compared with those accepted before and those of batches up to its own."""
+        self.compact()
         self.read = (0, 0)
-        records = self.stage.write(records.select("file_id", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL"), "batch")
-        if run := self._save(self._keys(records)):
-            self.runs.append(run)
-        fresh = records.select(F.col("phash").alias("a")).where("a IS NOT NULL").distinct()
-        equal = fresh.select("a", F.col("a").alias("b"))
-        near = self.stage.write(self._near(fresh).union(equal).select("a", "b", _whole(F.col("b")).alias("key")), "near")
-        shas = records.where("sha256 IS NOT NULL").select(_sha(F.col("sha256")).alias("key"), F.col("sha256").alias("sha"), F.col("file_id").alias("x"))
-        rows = self._rows(near.select("key").union(shas.select("key")))
-        by_hash = rows.where("value IS NOT NULL AND file_id IS NOT NULL").select("key", F.col("value").alias("b"), F.col("file_id").alias("y"))
-        by_hash = by_hash.join(near, ["key", "b"]).join(records.select(F.col("phash").alias("a"), F.col("file_id").alias("x")), "a").select("x", "y")
-        by_sha = rows.where("sha IS NOT NULL").select("key", "sha", F.col("file_id").alias("y")).join(shas, ["key", "sha"]).select("x", "y")
+        records = self.stage.write(records.select("file_id", "batch_no", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL"), "batches")
+        rows = (count if count is not None else records.count()) * (self.plan.keys() + 2)
+        older, runs = self.runs, self._save(self._keys(records), rows)
+        self.runs = older + runs
+        if not runs:
+            return self.stage.write(self.spark.createDataFrame([], "file_id_a long, file_id_b long"), "found")
+        hits = self._survey(runs, older)
+        fresh = self.spark.read.schema(f"{SCHEMA}, batch_no int").option("basePath", runs[0].path.rsplit("/", 1)[0]).parquet(*[r.path for r in runs])
+        window = F.col("key") < F.lit(WHOLE << 56)
+        asked = fresh.where(window).select("key", F.col("value").alias("a"), F.col("batch_no").alias("ab"))
+        known = self._old(hits).union(fresh).where(window).select("key", F.col("value").alias("b"), F.col("batch_no").alias("bb"))
+        near = self.stage.write(self._near(asked, known, rows).union(records.where("phash IS NOT NULL").select(F.col("phash").alias("a"), F.col("batch_no").alias("ab"), F.col("phash").alias("b")).distinct()).withColumn("key", _whole(F.col("b"))), "near")
+        # files that have one of the hashes found
+        spans, crowd = _Spans(older), hamming_join.CROWD
+        more = near.select("key").mapInArrow(lambda batches: _surveyed(batches, spans, crowd), "hit long, crowded long").agg(F.collect_set("hit").alias("hits")).first().hits
+        members = self._old(sorted({*hits, *self._chosen(spans, more)})).union(fresh)
+        up_to = F.col("yb") <= F.col("ab")
+        by_hash = members.where("value IS NOT NULL AND file_id IS NOT NULL").select("key", F.col("value").alias("b"), F.col("file_id").alias("y"), F.col("batch_no").alias("yb"))
+        by_hash = by_hash.join(near, ["key", "b"]).where(up_to).join(records.select(F.col("phash").alias("a"), F.col("batch_no").alias("ab"), F.col("file_id").alias("x")), ["a", "ab"]).select("x", "y")
+        shas = records.where("sha256 IS NOT NULL").select(_sha(F.col("sha256")).alias("key"), F.col("sha256").alias("sha"), F.col("file_id").alias("x"), F.col("batch_no").alias("ab"))
+        by_sha = members.where("sha IS NOT NULL").select("key", "sha", F.col("file_id").alias("y"), F.col("batch_no").alias("yb")).join(shas, ["key", "sha"]).where(up_to).select("x", "y")
         found = by_hash.union(by_sha).where("x <> y").select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b")).distinct()
-        found = self.stage.write(found, "found")
-        self._compact()
-        return found
+        return self.stage.write(found, "found")
+
+    def _near(self, asked: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+        """(a, ab, b): the different hashes b of known(key, b, bb) within the radius of each hash a of asked(key, a, ab), of no later batch."""
+        on, a, b = ["key"], F.col("a"), F.col("b")
+        near = (a != b) & (F.col("bb") <= F.col("ab")) & (hamming(a, b) <= self.radius) & hamming_join.first_common(a, b, F.col("key"), self.plan)
+        crowded = [r.crowded for r in self.runs if r.crowded is not None]
+        if crowded:
+            keys = reduce(DataFrame.union, crowded).distinct()
+            asked, known = hamming_join.split(asked, keys, on, "a", self.plan), hamming_join.split(known, keys, on, "b", self.plan)
+            on, near = ["key", "inner"], near & hamming_join.first_inner(a, b, F.col("inner"), self.plan)
+        elif rows <= MOST_BROADCAST:  # counted
+            asked = F.broadcast(asked)
+        # the same hash may stand in several runs
+        return known.join(asked, on).where(near).select("a", "ab", "b").distinct()
 
 
 def batch_pairs(spark: SparkSession, members: DataFrame, radius: int = 6) -> DataFrame:
     """(file_id_a, file_id_b), a < b: files not both of batch 0 with equal sha256 or phash within radius.
 
-    members(file_id, batch_no, sha256?, phash?), one row per file: usable hashes or null, which match nothing. Batches are
-    taken in order (their numbers are few, and each is one step); each is compared with what was accepted before it and with itself, so a
-    pair comes out in the batch of its later file only. Copies are members of one hash, so hashes are compared once, and are expanded
-    into pairs only in the result.
+    members(file_id, batch_no, sha256?, phash?), one row per file: usable hashes or null, which match nothing. Batch 0 is the history, the
+    others wait and are accepted in their order; a pair comes out with its later file only. Copies are members of one hash, so hashes
+    are compared once, and are expanded into pairs only in the result.
     """
     stage = Stage(spark, "batches")
-    at = stage.path("members")
-    members.select("file_id", "batch_no", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL").write.partitionBy("batch_no").parquet(at)
-    members = spark.read.schema("file_id long, sha256 string, phash long, batch_no int").parquet(at)
-    sizes = {r.batch_no: r.n for r in members.groupBy("batch_no").agg(F.count("*").alias("n")).collect()}
-    index = HistoryIndex(spark, radius, expected=max(sum(sizes.values()), 1))
-    of = lambda b: members.where(F.col("batch_no") == b)
-    if 0 in sizes:
-        index.load(of(0))
-    found = [index.add(of(b)) for b in sorted(sizes) if b > 0]
+    members = stage.write(members.select("file_id", "batch_no", "sha256", "phash").where("sha256 IS NOT NULL OR phash IS NOT NULL"), "members")
+    old = F.col("batch_no") == 0
+    sizes = members.agg(F.count_if(old).alias("old"), F.count_if(~old).alias("new")).first()
+    index = HistoryIndex(spark, radius, expected=max(sizes.old + sizes.new, 1))
+    index.load(members.where(old), sizes.old)
+    found = index.add_all(members.where(~old), sizes.new)
     index.close()
-    stage.delete(at)
-    if not found:
-        return spark.createDataFrame([], "file_id_a long, file_id_b long")
-    return reduce(DataFrame.union, found)
+    stage.drop(members)
+    return found
