@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 from lumatwin.functions import media
 from lumatwin.functions.hashes import hash_long
 from lumatwin.operators.hamming import near_values
+from lumatwin.operators.presets import RADIUS
 from lumatwin.stage import Stage
 
-#: Radius by preset.
-RADIUS = {"Ultra-Lite": 6, "Balanced": 8, "Accurate": 12}
-
-
 def exact_groups(files: DataFrame, confirm: bool = True) -> DataFrame:
     """(group_no, file_id, confidence): files of one size and fast_hash, and of one sha256 if confirm.
 

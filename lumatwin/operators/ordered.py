@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lumatwin.stage import Stage
 
 
+#: Rows that one task ranks.
+PART = 2_000_000
+
+
 def running(rows: DataFrame, order: list[Column], total: Column | None = None) -> DataFrame:
     """rows with ``place`` (1 for the first row in the order) and ``before`` (the sum of ``total`` over the rows that come first).
 
@@ -16,8 +20,11 @@ def running(rows: DataFrame, order: list[Column], total: Column | None = None) -
     """
     keyed = rows.withColumns({"_order": F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]), "_total": F.coalesce(total, F.lit(0)) if total is not None else F.lit(0)})
     # written once, so that both uses see the same partitions
-    parts = keyed.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism * 2, "_order").withColumn("_part", F.spark_partition_id())
-    parts = Stage(rows.sparkSession, "ordered").write(parts, "parts")
+    stage = Stage(rows.sparkSession, "ordered")
+    keyed = stage.write(keyed, "rows")
+    n = max(rows.sparkSession.sparkContext.defaultParallelism * 2, -(-keyed.count() // PART))
+    parts = stage.write(keyed.repartitionByRange(n, "_order").withColumn("_part", F.spark_partition_id()), "parts")
+    stage.drop(keyed)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("_total").alias("_s"))
     offsets = sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"))

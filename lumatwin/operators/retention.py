@@ -35,23 +35,27 @@ def lru(entries: DataFrame, remove: float, most: int | None = None) -> DataFrame
     return (hit.where(F.col("place") <= most) if most else hit).drop("place", "before")
 
 
-def purge(entries: DataFrame, now: float, cap: int, most: int = 1000) -> DataFrame:
-    """(key, size, reason) of a purge: all hard-expired entries; then, if more than cap is left, the ones used longest ago down to 80 % of it;
+def purge(entries: DataFrame, now: float, cap: int, most: int | None = None) -> DataFrame:
+    """(key, size, reason) of a purge: all hard-expired entries; then, if more than cap is left, the ones used longest ago down to 80 % of it (at most so many, if given);
     or, if less than half of cap was in use, half of the soft-expired ones in the order of their keys."""
     rows = entries.withColumn("e", expiry(now))
-    sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("e") == "hard", F.col("size"))), F.lit(0)).alias("hard"), F.count_if(F.col("e") == "soft").alias("soft")).first()
-    left = sums["all"] - sums["hard"]
-    parts = [rows.where("e = 'hard'").select("key", "size", F.lit("hard_expired").alias("reason"))]
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = rows.agg(zero(F.sum("size")).alias("_all"), zero(F.sum(F.when(F.col("e") == "hard", F.col("size")))).alias("_hard"), F.count_if(F.col("e") == "soft").alias("_soft"))
+    hard = rows.where("e = 'hard'").select("key", "size", F.lit("hard_expired").alias("reason"))
     live = rows.where("e <> 'hard'")
-    if left > cap:
-        parts.append(lru(live, left - cap * 0.8, most).select("key", "size", F.lit("lru").alias("reason")))
-    if sums["all"] < cap * 0.5:
-        half = running(live.where("e = 'soft'"), [F.col("key")]).where(F.col("place") <= sums["soft"] // 2)
-        parts.append(half.select("key", "size", F.lit("soft_expired").alias("reason")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    used = running(live, [F.col("last_accessed"), F.col("key")], F.col("size")).join(F.broadcast(sums))  # one row
+    left = F.col("_all") - F.col("_hard")
+    oldest = used.where((left > cap) & (F.col("before") < left - F.lit(cap * 0.8)))
+    if most is not None:
+        oldest = oldest.where(F.col("place") <= most)
+    half = running(live.where("e = 'soft'"), [F.col("key")]).join(F.broadcast(sums)).where((F.col("_all") < cap * 0.5) & (F.col("place") <= F.floor(F.col("_soft") / 2)))  # one row
+    return hard.union(oldest.select("key", "size", F.lit("lru"))).union(half.select("key", "size", F.lit("soft_expired")))
+
+
+def oldest_beyond(files: DataFrame, total: DataFrame, now: float, cap: float, percent: float) -> DataFrame:
+    """(path, size) of the files that go, oldest by whole days first, of one age the largest first, if total(total) is above cap bytes: down to so many percent of it."""
+    ranked = running(files, [-media.age_days(now, F.col("mtime")), -F.coalesce("size", F.lit(0)), F.col("path")], F.col("size")).join(F.broadcast(total))  # one row
+    return ranked.where((F.col("total") > cap) & (F.col("before") < F.col("total") - F.lit(cap * percent / 100))).select("path", "size")
 
 
 def size_purge(files: DataFrame, now: float, remove: float) -> DataFrame:

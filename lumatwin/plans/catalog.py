@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("data_quality", "grouping", "workflow", "upkeep", "fields", "storage")
+MODULES = ("data_quality", "grouping", "workflow", "upkeep", "fields", "storage", "ledger")
 
 
 def _merged(what: str) -> dict:

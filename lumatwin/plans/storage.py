@@ -9,19 +9,23 @@ from lumatwin.operators import grouping, ordered, retention, storage
 from lumatwin.plans import sqltext as S
 from lumatwin.plans.grouping import _TIERS, records
 from lumatwin.plans.workflow import _MEM, NOW, deleted, files, members, thumbs
-from lumatwin.tables import table
+from lumatwin.tables import latest, table
 
 
 def upsert_features(spark, d):
-    """Features inserted one after the other: the highest version of each file stays."""
+    """A table of the features of odd versions, into which those of even versions are put where they're newer: the highest version of each file stays."""
     f = table(spark, d, "features").where("file_id IS NOT NULL").select("file_id", "fast_hash", "sha256", "phash", "dhash", "whash", "feature_ver")
-    return storage.upsert(f.limit(0), f, ["file_id"], "feature_ver").select("file_id", "feature_ver", "sha256")
+    old = latest(f.where("feature_ver % 2 = 1"), "file_id", "feature_ver").select(*f.columns)
+    new = f.where("feature_ver % 2 = 0").join(old.select("file_id", F.col("feature_ver").alias("_v")), "file_id", "left").where("_v IS NULL OR feature_ver > _v").drop("_v")
+    return storage.upsert(old, new, ["file_id"], "feature_ver").select("file_id", "feature_ver", "sha256")
 
 
 def upsert_members(spark, d):
-    """The members of repeated rows, one row per group and file, that with the largest role."""
+    """A table of the members that aren't promoted, into which promoted ones are put: one row per group and file, that with the largest role."""
     m = table(spark, d, "group_members").select("group_id", "file_id", "role")
-    return storage.upsert(m.limit(0), m, ["group_id", "file_id"], "role")
+    safe = F.col("role") == "safe_duplicate"
+    old = m.where(~safe).groupBy("group_id", "file_id").agg(F.max("role").alias("role"))
+    return storage.upsert(old, m.where(safe), ["group_id", "file_id"])
 
 
 def new_groups(spark, d):

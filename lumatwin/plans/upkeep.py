@@ -48,12 +48,18 @@ def lru_purge(spark, d):
 
 
 def purge_plan(spark, d):
+    """I04 with the step's limit of 1,000 entries."""
+    return retention.purge(entries(spark, d), NOW, CAP, 1000)
+
+
+def whole_purge_plan(spark, d):
+    """I04 until the cap is met, however many entries it takes."""
     return retention.purge(entries(spark, d), NOW, CAP)
 
 
 def soft_purge_plan(spark, d):
     """The same where the cap is far off, so soft-expired entries go."""
-    return retention.purge(entries(spark, d), NOW, 10**15)
+    return retention.purge(entries(spark, d), NOW, 10**15, 1000)
 
 
 def size_purge(spark, d):
@@ -142,7 +148,7 @@ def batches(spark, d):
 
 def queries() -> dict:
     return {
-        "a10_cache_stats": cache_stats, "p22_cache_expiry": cache_expiry, "w02_lru_purge": lru_purge, "i04_purge_plan": purge_plan, "w11_soft_purge_plan": soft_purge_plan, "w03_size_purge": size_purge, "p20_sweep": sweep, "w04_keep_newest": keep_newest,
+        "a10_cache_stats": cache_stats, "p22_cache_expiry": cache_expiry, "w02_lru_purge": lru_purge, "i04_purge_plan": purge_plan, "i04_whole_purge": whole_purge_plan, "w11_soft_purge_plan": soft_purge_plan, "w03_size_purge": size_purge, "p20_sweep": sweep, "w04_keep_newest": keep_newest,
         "a15_reclaimable": reclaimable, "a16_fragmentation": fragmentation, "f25_advice": advice, "j15_orphans": orphans, "a18_profiler_summary": profiler_summary, "w05_rolling_p95": rolling, "w07_interaction_rate": interaction_rate, "w08_throttle_delay": throttle,
         "w07_back_off": back_off, "w10_recent": recent, "i05_idle_sessions": sessions, "a22_outcomes": outcomes, "a23_pool_stats": pool_stats, "w09_batches": batches,
     }
@@ -157,11 +163,11 @@ _REC = f"""{_FIL}, rk AS (SELECT *, row_number() OVER (PARTITION BY regexp_repla
 go AS (SELECT size FROM cf WHERE age > 30 UNION ALL SELECT size FROM rk WHERE k > 1 UNION ALL SELECT size FROM rk WHERE age > 1 AND {_TEMP})"""
 
 
-def _purge(cap: int) -> str:
+def _purge(cap: int, most: str = "AND k <= 1000") -> str:
     return f"""{_ENT}, lv AS (SELECT * FROM en WHERE e <> 'hard'), t AS (SELECT sum(size) a, (SELECT sum(size) FROM lv) l FROM en),
 r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY last_accessed, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, row_number() OVER (ORDER BY last_accessed, key) k FROM lv),
 sf AS (SELECT key, size, row_number() OVER (ORDER BY key) k, count(*) OVER () n FROM en WHERE e = 'soft')
-SELECT key, size, 'hard_expired' reason FROM en WHERE e = 'hard' UNION ALL SELECT key, size, 'lru' FROM r, t WHERE l > {cap} AND b < l - {cap} * 0.8 AND k <= 1000
+SELECT key, size, 'hard_expired' reason FROM en WHERE e = 'hard' UNION ALL SELECT key, size, 'lru' FROM r, t WHERE l > {cap} AND b < l - {cap} * 0.8 {most}
 UNION ALL SELECT key, size, 'soft_expired' FROM sf, t WHERE a < {cap} * 0.5 AND k <= n // 2"""
 
 
@@ -174,6 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "p22_cache_expiry": _ENT + " SELECT key, e expiry FROM en",
         "w02_lru_purge": _ENT + ", r AS (SELECT key, size, coalesce(sum(size) OVER (ORDER BY last_accessed, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM en) SELECT key, size FROM r WHERE b < 2000000000",
         "i04_purge_plan": _purge(CAP),
+        "i04_whole_purge": _purge(CAP, ""),
         "w11_soft_purge_plan": _purge(10**15),
         "w03_size_purge": _FIL + ", r AS (SELECT path, size, coalesce(sum(size) OVER (ORDER BY age DESC, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, row_number() OVER (ORDER BY age DESC, size, path) rank FROM cf) SELECT path, size, rank FROM r WHERE b < 2000000000",
         "p20_sweep": _FIL + f" SELECT path, age > 7 fast, age > 30 OR size = 0 OR {_BROKEN} OR ({_TEMP} AND age > 1) \"full\" FROM cf",

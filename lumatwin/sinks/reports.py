@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumatwin.operators import reports
+from lumatwin.operators import reports, selection
+
+# The headings of an exported selection.
+SELECTION = ["File ID", "Group ID", "File Path", "File Size", "Role", "Is Selected", "Is Safe Duplicate"]
 
 
 def to_csv(rows: DataFrame, path: str, fields: list[str] | None = None, separator: str = ",", single: bool = False) -> None:
@@ -39,6 +43,36 @@ def history(deleted: DataFrame, path: str) -> None:
     deleted.groupBy("batch_id").agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.sort_array(F.collect_list(F.struct("path", "size", "method"))).alias("deleted")).write.mode("overwrite").json(path)
 
 
+def selection_csv(rows: DataFrame, path: str) -> None:
+    """The selected rows of a selection with the headings shown."""
+    selection.exported(rows).toDF(*SELECTION).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def selection_json(rows: DataFrame, path: str, now: float) -> None:
+    """The selected rows as JSON lines, and figures on them as a JSON line of its own."""
+    selection.exported(rows).write.mode("overwrite").json(f"{path}/files")
+    info = selection.stats(rows).select(F.struct(F.lit(float(now)).alias("timestamp"), F.col("total_selected").alias("total_files"), F.struct("*").alias("selection_stats")).alias("export_info"))
+    info.write.mode("overwrite").json(f"{path}/export_info")
+
+
+def save_figures(row: DataFrame, path: str) -> None:
+    """One row of figures as JSON."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_figures(spark, path: str, schema) -> DataFrame:
+    """Figures as they were saved; no row where there are none or they can't be read."""
+    try:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def analyse(spark, table: str) -> None:
+    """Statistics of a catalogued table and its columns, for the optimizer."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
 def compact(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """df rewritten into files of a bounded number of rows."""
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)

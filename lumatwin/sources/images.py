@@ -54,3 +54,20 @@ def described(files: DataFrame) -> DataFrame:
 
     kinds = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest)
     return files.mapInPandas(run, f"{kinds}, {SCHEMA}")
+
+
+def merged_exif(first: DataFrame, second: DataFrame) -> DataFrame:
+    """first(file_id, orientation, camera_make, camera_model, camera_full) with what a second reader adds, where the first found no turned orientation (1 or none).
+
+    Its orientation counts if it isn't 1; its camera counts, as a whole, if the first found none. Files that only the second has are left out.
+    """
+    from pyspark.sql import functions as F
+
+    names = ("orientation", "camera_make", "camera_model", "camera_full")
+    rows = first.join(second.select("file_id", *[F.col(n).alias(f"_{n}") for n in names]), "file_id", "left")
+    own = F.coalesce(F.when(F.col("orientation").between(1, 8), F.col("orientation")), F.lit(1))
+    other = F.when(F.col("_orientation").between(2, 8), F.col("_orientation"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    fill = (own == 1) & blank("camera_full") & ~blank("_camera_full")
+    values = {"orientation": F.when(own == 1, F.coalesce(other, F.lit(1))).otherwise(own)} | {n: F.when(fill, F.col(f"_{n}")).otherwise(F.col(n)) for n in names[1:]}
+    return rows.select("file_id", *[v.alias(n) for n, v in values.items()])
