@@ -24,6 +24,12 @@ def similar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("id", "other").alias("file_id_a"), F.greatest("id", "other").alias("file_id_b")).distinct()
 
 
+def similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, other): the five embeddings of largest cosine of each."""
+    found = codes.similar(spark, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return found.select(F.col("id").alias("vec_id"), "other")
+
+
 def tie_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, v): each member of a group with the group's smallest, each file with the smallest of its phash, and those of near phashes."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id")).where("file_id IS NOT NULL").distinct()
@@ -46,6 +52,7 @@ def queries() -> dict:
     return {
         "p1_found": batch_duplicates,
         "p2_found": similar_files,
+        "p2_similar_embeddings": similar_embeddings,
         "p4_found": survivors.survivor_sources,
         "p4_records": survivors.survivor_records,
         "p4_consensus": survivors.survivor_consensus,

@@ -7,15 +7,12 @@ back to one record per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumatwin.operators.ordered import running
 from lumatwin.tables import current_files, table
 
-#: Ages beyond this weigh less than 2^-60 of the youngest together: they can't change a winner that ties go to the youngest for.
-_DEPTH = 64
-_SALTS = 16
-
 #: [2010-01-01, 2026-01-01) UTC in seconds.
 SPAN_S = (1_262_304_000, 1_767_225_600)
 
@@ -27,24 +24,31 @@ def unpivot(rows: DataFrame, keep: list[str], fields: dict[str, Column]) -> Data
 
 
 def positions(rows: DataFrame, group: str, order: str, field: str = "field_name") -> DataFrame:
-    """rows with ``age``: how many rows of the group and field stand before it in the order, for those that stand among the first _DEPTH.
+    """rows with ``age``: how many rows of the group and field stand before it in the order, for all of them.
 
-    A group is first ranked in salted parts, of which only the first _DEPTH rows go on, so no task holds a group as a whole.
+    Rows are numbered over the whole table, by ranges of (group, field, order), so a group with most of them is many tasks.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(_SALTS)))
-    first = salted.withColumn("_n", F.row_number().over(Window.partitionBy(group, field, "_salt").orderBy(order))).where(F.col("_n") <= _DEPTH)
-    return first.withColumn("age", F.row_number().over(Window.partitionBy(group, field).orderBy(order)) - 1).where(F.col("age") < _DEPTH).drop("_salt", "_n")
+    placed = running(rows, [F.col(group), F.col(field), F.col(order)]).drop("before")
+    first = placed.groupBy(group, field).agg(F.min("place").alias("_first"))
+    return placed.join(first, [group, field]).withColumn("age", F.col("place") - F.col("_first")).select(*rows.columns, "age")
+
+
+def normalised(value: Column) -> Column:
+    """A value as it's compared: without outer blanks and case; numbers without signs of their form (1e3, 1000.0 and 1000 are equal), cut to whole ones."""
+    text = F.lower(F.trim(value))
+    number = F.when(text.rlike(r"^[+-]?[0-9]+([.][0-9]*)?(e[+-]?[0-9]{1,2})?$"), F.floor(text.try_cast("double")).cast("long"))
+    return F.coalesce(number.cast("string"), text)
 
 
 def vote(rows: DataFrame, group: str, source: str, trust: Column, age: Column, half_life: float) -> DataFrame:
     """(group, field_name, value, source, votes): the winning value of each field and the youngest source that has it.
 
-    rows(group, field_name, value, source, ...). Votes are trust x 2^(-age / half_life), summed per value; a tie goes to the value
-    with the youngest source, then to the smaller source.
+    rows(group, field_name, value, source, ...). Votes are trust x 2^(-age / half_life), summed per value to nine decimals; a tie goes to the
+    value with the youngest source, then to the smaller source. Null values don't vote. Values are compared as they stand: see normalised().
     """
     weight = (trust * F.pow(F.lit(2.0), -age / F.lit(half_life))).alias("_w")
-    cast = rows.select(group, "field_name", "value", F.col(source).alias("_source"), age.cast("double").alias("_age"), weight)
-    sums = cast.groupBy(group, "field_name", "value").agg(F.sum("_w").alias("votes"), F.min(F.struct("_age", "_source")).alias("_first"))
+    cast = rows.where("value IS NOT NULL").select(group, "field_name", "value", F.col(source).alias("_source"), age.cast("double").alias("_age"), weight)
+    sums = cast.groupBy(group, "field_name", "value").agg(F.round(F.sum("_w"), 9).alias("votes"), F.min(F.struct("_age", "_source")).alias("_first"))
     rank = F.struct("votes", -F.col("_first._age"), -F.col("_first._source"))
     best = sums.groupBy(group, "field_name").agg(F.max_by(F.struct("value", F.col("_first._source").alias("source"), "votes"), rank).alias("_b"))
     return best.select(group, "field_name", "_b.value", F.col("_b.source").alias(source), "_b.votes")
@@ -103,11 +107,12 @@ def survivor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def survivor_consensus(spark: SparkSession, sf_dir: str, half_life_days: float = 180.0) -> DataFrame:
     """The same fields by real votes: members that were seen later count more, complete ones are trusted more.
 
-    Trust is the number of usable values; age is how long before the last member of its group a file was last seen.
+    Trust is the number of usable values; age is how long before the last member of its group a file was last seen. Times that are equal to the second agree.
     """
     rows = group_fields(spark, sf_dir).where("field_name <> 'record'")
     seen = table(spark, sf_dir, "files").groupBy(F.col("id").alias("file_id")).agg(F.max("last_seen_at").alias("seen"))
     rows = rows.join(seen, "file_id")
     last = rows.groupBy("group_id").agg(F.max("seen").alias("last"))
     age = (F.col("last") - F.col("seen")) / 86_400.0
-    return vote(rows.join(last, "group_id"), "group_id", "file_id", -F.col("precedence.n"), age, half_life_days).select("group_id", "field_name", "value", "file_id")
+    rows = rows.join(last, "group_id").withColumn("value", normalised(F.col("value")))
+    return vote(rows, "group_id", "file_id", -F.col("precedence.n"), age, half_life_days).select("group_id", "field_name", "value", "file_id")

@@ -6,11 +6,11 @@ texts have no tokens: an empty list, of size 0. Text that looks like a special t
 
 from __future__ import annotations
 
+import codecs
 import os
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +60,17 @@ def decode(ids: list[int] | None, path: str = VOCABULARY) -> str:
     return b"".join(table[k] for k in ids or ()).decode("utf-8", errors="replace")
 
 
+class Decoder:
+    """Decodes ids as they come: bytes of a character that isn't whole yet are held back until its other ids arrive."""
+
+    def __init__(self, path: str = VOCABULARY) -> None:
+        self._table, self._held = _token_bytes(path), codecs.getincrementaldecoder("utf-8")(errors="replace")
+
+    def feed(self, ids: list[int], last: bool = False) -> str:
+        """The text that the ids complete; last: no more come, and bytes still held back become U+FFFD."""
+        return self._held.decode(b"".join(self._table[k] for k in ids), final=last)
+
+
 def _encoded(texts: list[str | None], path: str, offsets: bool) -> Iterator[list]:
     """Encodings of texts in bounded portions; an empty list stands for null and empty ones."""
     t = _tokenizer(path)
@@ -74,12 +85,6 @@ def _encoded(texts: list[str | None], path: str, offsets: bool) -> Iterator[list
         at = end
 
 
-def _lists(parts: list[list[int]]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    flat = np.fromiter((k for x in parts for k in x), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(ends, flat)
-
-
 def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, offsets: bool = False, out: str = "ids") -> DataFrame:
     """df without the text, with its ids in a column ``out`` (replacing one of that name).
 
@@ -97,7 +102,7 @@ def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, offsets: b
                 if offsets:
                     starts += [[a for a, _ in e.offsets] for e in part]
                     ends += [[b for _, b in e.offsets] for e in part]
-            lists = [_lists(v) for v in ([ids, starts, ends] if offsets else [ids])]
+            lists = [pa.array(v, pa.list_(pa.int32())) for v in ([ids, starts, ends] if offsets else [ids])]
             yield pa.RecordBatch.from_arrays([*[x[c] for c in keep], *lists], names)
 
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]

@@ -10,7 +10,7 @@ from compare import check, duck
 
 from lumatwin.llm import queries as Q
 
-NAMES = ["p1_found", "p2_found", "p4_found", "p4_records", "p5_found"]
+NAMES = ["p1_found", "p2_found", "p2_similar_embeddings", "p4_found", "p4_records", "p4_consensus", "p5_found"]
 
 
 @pytest.mark.parametrize("name", NAMES)

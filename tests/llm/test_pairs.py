@@ -66,6 +66,7 @@ def test_runs_are_merged_and_opened_again(spark, monkeypatch):
     assert pairs(index, (1, "a", 1), (2, "a", 0xFFFF << 40)) == {(1, 100), (1, 101), (1, 2)}
     assert len(index.runs) == 2 and len(index.runs[0].fences) > 2
     assert pairs(index, (3, None, 3)) == {(1, 3), (3, 100), (3, 101)}
+    index.compact()
     assert len(index.runs) == 1  # three of like size became one
     again = history.HistoryIndex.open(spark, index.manifest())
     assert pairs(again, (4, "h", None), (5, "q", (0xFFFF << 40) ^ 7), (6, "q", (0xFFFF << 40) ^ 7)) == {(4, 100), (4, 101), (2, 5), (2, 6), (5, 6)}
@@ -77,12 +78,11 @@ def test_a_batch_reads_as_much_of_any_history(spark, monkeypatch):
     """A small batch reads no more files of a history ten times as large: some for each of its keys, whatever the runs hold."""
     monkeypatch.setattr(history, "FILE_ROWS", 400)
     read = []
-    for n in (3_000, 30_000):
-        rng = random.Random(n)
+    for n in (2_000, 20_000):
         index = history.HistoryIndex(spark, expected=100_000)
-        index.load(records(spark, [(k, f"s{k}", rng.getrandbits(64)) for k in range(n)]))
+        index.load(spark.range(n).selectExpr("id AS file_id", "'s' || id AS sha256", "xxhash64(id) AS phash"))
         files = sum(len(r.fences) for r in index.runs)
-        assert index.add(records(spark, [(10**6, "s7", rng.getrandbits(64))])).count() == 1
+        assert index.add(records(spark, [(10**6, "s7", random.Random(n).getrandbits(64))])).count() == 1
         read.append((index.read, files))
         index.close()
     (few, all_few), (more, all_more) = read
@@ -133,6 +133,70 @@ def test_estimates_keep_their_bound():
     assert ((1 - differ(ca, np.roll(np.stack(cb), 1, axis=1)) / 96) / (sa * np.roll(sb, 1)) >= least).mean() < 0.01  # strangers
 
 
+def test_cells_grow_with_the_number_of_vectors():
+    """From 10^5 to 10^6 vectors candidates grow twentyfold at most; longer cells need more tables, which keep the recall."""
+    met = lambda n: n * n / 2 * codes.table_count(b := codes.cell_plan(n, 24, 0.999), 24, 0.999) / 2**b
+    assert met(10**6) <= 20 * met(10**5) and met(10**8) <= 20 * met(10**7)
+    assert codes.cell_plan(10**3, 24, 0.999) < codes.cell_plan(10**7, 24, 0.999)
+
+
+@pytest.mark.parametrize("bits", [6, 20])
+def test_neighbours_whatever_the_bits(spark, bits):
+    rng = random.Random(bits)
+    bases = [[rng.getrandbits(64) for _ in range(3)] for _ in range(15)]
+    rows = [(k, *[signed(flipped(rng, b, rng.randint(0, 6))) for b in bases[k % 15]]) for k in range(90)]
+    expected = brute_neighbours(rows, 5, 24)
+    got = {(r.id, r.other, r.distance) for r in codes.neighbours(spark, spark.createDataFrame(rows, "id long, a long, b long, c long"), bits=bits).collect()}
+    assert len(expected & got) >= 0.99 * len(expected)
+
+
+def nearest(ids, v, k):
+    """The k nearest by cosine of each, by brute force; of equal cosines the smaller id first."""
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = v @ v.T
+    np.fill_diagonal(cosine, -9)
+    return {i: [(ids[j], cosine[x, j]) for j in sorted(range(len(ids)), key=lambda j: (-round(cosine[x, j], 6), ids[j]))[:k]] for x, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize(("cell", "task", "least"), [(codes.CELL, codes.TASK, 0.99), (250, 100, 0.95)])
+def test_similar_embeddings(spark, tiny, monkeypatch, cell, task, least):
+    """Recall against brute force on the embeddings: of one cell, and of several, each cut into tasks. These vectors have no clusters, so most of the cells are asked."""
+    monkeypatch.setattr(codes, "TASK", task)
+    table = spark.read.parquet(f"{tiny}/embeddings.parquet").where("embedding IS NOT NULL")
+    rows = sorted((r.vec_id, r.embedding) for r in table.collect())
+    expected = nearest([k for k, _ in rows], np.array([v for _, v in rows], float), 5)
+    got = {}
+    for r in codes.similar(spark, table.selectExpr("vec_id AS id", "embedding AS vector"), 5, cell=cell, probes=8).collect():
+        got.setdefault(r.id, {})[r.other] = r.cosine
+    assert got.keys() == expected.keys() and all(len(v) == 5 for v in got.values())
+    recall = np.mean([len({j for j, _ in v} & got[i].keys()) / 5 for i, v in expected.items()])
+    print("recall", recall)
+    assert recall >= least
+    assert all(abs(got[i][j] - c) < 1e-4 for i, v in expected.items() for j, c in v if j in got[i])
+
+
+def test_similar_clusters_copies_and_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 24))
+    rows = [(k, (centres[k % 12] + 0.05 * rng.standard_normal(24)).tolist()) for k in range(240)]
+    hot = centres[0].tolist()
+    copies = [(1000 + k, [2.5 * x for x in hot]) for k in range(150)]  # one direction, a third of all
+    odd = [(5000, None), (None, hot), (5001, []), (5002, [0.0] * 24), (5003, [float("nan"), *hot[1:]]), (5004, hot[:5]), (5005, [None, *hot[1:]])]
+    df = spark.createDataFrame([*rows, *copies, *odd, rows[0]], "id long, vector array<double>")
+    got = {}
+    for r in codes.similar(spark, df, 4, cell=40, probes=3).collect():
+        got.setdefault(r.id, []).append((r.other, round(r.cosine, 6)))
+    assert got.keys() == {k for k, _ in rows + copies}
+    assert sorted(got[1000]) == [(1001, 1.0), (1002, 1.0), (1003, 1.0), (1004, 1.0)] and sorted(got[1149]) == [(1000, 1.0), (1001, 1.0), (1002, 1.0), (1003, 1.0)]
+    all_ = rows + copies
+    expected = nearest([k for k, _ in all_], np.array([v for _, v in all_]), 4)
+    recall = np.mean([len({round(c, 4) for _, c in expected[k]} & {round(c, 4) for _, c in got[k]}) / len({round(c, 4) for _, c in expected[k]}) for k, _ in rows])
+    assert recall >= 0.95
+    empty = spark.createDataFrame([], "id long, vector array<float>")
+    assert codes.similar(spark, empty).count() == 0 and codes.similar(spark, spark.createDataFrame(odd, "id long, vector array<double>").where("id = 5002")).count() == 0
+    assert codes.similar(spark, df.where("id = 0")).count() == 0
+
+
 def linked(edges):
     parent = {}
 

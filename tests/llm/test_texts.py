@@ -53,6 +53,12 @@ def test_part_of_a_character(spark):
     ids = tokens.encode(spark.createDataFrame([("𝔘",)], "text string")).first().ids
     assert len(ids) > 1 and "�" in tokens.decode(ids[:1]) and tokens.decode(None) == ""
     assert len(tokens.byte_of_character()) == 256
+    text = "naïve 𝔘 你好 🙂"
+    whole = tokens.encode(spark.createDataFrame([(text,)], "text string")).first().ids
+    d = tokens.Decoder()
+    parts = [d.feed([k]) for k in whole]
+    assert "".join(parts) == text and "" in parts and d.feed([], last=True) == ""
+    assert d.feed(ids[:1]) == "" and d.feed([], last=True) == "�"
 
 
 # --- mixing ---
@@ -112,10 +118,18 @@ def test_votes(spark):
 
 
 def test_hot_group(spark):
-    """A group with most rows is ranked in parts; the first of 3,000 members wins, whatever the others agree on."""
+    """A group with most rows is ranked in ranges, all of it; the first of 3,000 members wins, whatever the others agree on."""
     rows = spark.range(3000).select(F.lit(1).alias("g"), F.col("id").alias("s"), F.lit("f").alias("field_name"), F.when(F.col("id") == 0, "first").otherwise("rest").alias("value"), F.struct("id").alias("precedence"))
     aged = survivors.positions(rows, "g", "precedence")
-    assert aged.count() == 64 and survivors.vote(aged, "g", "s", F.lit(1.0), F.col("age"), 1.0).first().value == "first"
+    assert aged.count() == 3000 and aged.agg(F.max("age")).first()[0] == 2999
+    assert survivors.vote(aged, "g", "s", F.lit(1.0), F.col("age"), 1.0).first().value == "first"
+
+
+def test_values_are_normalised(spark):
+    cases = [("1000", "1000"), ("1e3", "1000"), (" 1000.0 ", "1000"), ("1.7E9", "1700000000"), ("-2.5", "-3"), ("Nikon ", "nikon"), ("", ""), (None, None), ("1.2.3", "1.2.3")]
+    df = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(cases)], "k int, v string")
+    got = {r.k: r.n for r in df.select("k", survivors.normalised(F.col("v")).alias("n")).collect()}
+    assert [got[k] for k in range(len(cases))] == [n for _, n in cases]
 
 
 # --- personal details ---
