@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumatwin.operators.ordered import chunked
+from lumatwin.operators.ordered import chunked, running
 from lumatwin.stage import ship
 
 
@@ -58,8 +58,9 @@ def throttle(events: DataFrame, per_second: float) -> DataFrame:
 def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: float = 2.0) -> DataFrame:
     """(event_id, key, backed_off): a state per key: when the trailing span holds ``least`` events, it backs off for ``hold`` seconds; events meanwhile don't prolong it.
 
-    A key's events go through in order of time, one Arrow batch after the other; only the times of the span and the last
-    back-off are kept, so a key of any length needs little memory.
+    Where a key is idle for the span and the hold, its state starts anew: stretches between such gaps are worked on apart, so a key with most events
+    is many tasks. Events of a stretch go through in order of time, one Arrow batch after the other; only the times of the span and the last back-off
+    are kept, so a stretch of any length needs little memory.
     """
     import pyarrow as pa
 
@@ -69,7 +70,7 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
         key, recent, since = object(), [], float("-inf")
         for x in batches:
             out = []
-            for k, us in zip(x["key"].to_pylist(), x["us"].to_pylist()):
+            for k, us in zip(x["_stretch"].to_pylist(), x["us"].to_pylist()):
                 t = us / 1e6
                 if k != key:
                     key, recent, since = k, [], float("-inf")
@@ -80,7 +81,12 @@ def back_off(events: DataFrame, seconds: float = 1.0, least: int = 3, hold: floa
                 out.append(busy)
             yield pa.RecordBatch.from_arrays([x["event_id"], x["key"], pa.array(out, pa.bool_())], ["event_id", "key", "backed_off"])
 
-    rows = events.select("event_id", "key", _us().alias("us")).repartition("key").sortWithinPartitions("key", "us", "event_id")
+    timed = events.select("event_id", "key", _us().alias("us"))
+    order = [F.col(c) for c in ("key", "us", "event_id")]
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("chunk", "key").orderBy("place"))
+    starts = chunked(timed, order, 1).withColumn("_new", F.coalesce(gap >= int(max(seconds, hold) * 1e6), F.lit(True)).cast("int")).where("NOT halo").select("event_id", "key", "us", "_new")
+    rows = running(starts, order, F.col("_new")).select("event_id", "key", "us", (F.col("before") + F.col("_new")).alias("_stretch"))
+    rows = rows.repartition("_stretch").sortWithinPartitions("_stretch", "us", "event_id").select("event_id", "key", "us", "_stretch")
     return rows.mapInArrow(run, f"event_id long, key {events.schema['key'].dataType.simpleString()}, backed_off boolean")
 
 

@@ -2,8 +2,8 @@
 
 Texts are rewritten to nine parts by one regular expression per family of formats; the zone comes from the text, else from
 a separate offset text, else from the place the record belongs to. Where a place has no usable zone, its offset history is
-estimated: each candidate history is tried on the place's unzoned local times, and the one with the fewest violations
-(instants off a known anchor time, or after ingestion) is taken. Everything is a column expression or a grouped
+estimated: each candidate history, of one zone or of two with a change between them, is tried on the place's unzoned local times, and the
+one with the fewest violations (instants off a known anchor time, after ingestion, or out of sequence) is taken. Everything is a column expression or a grouped
 aggregation with a partial step, so nothing runs row by row in Python.
 """
 
@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumatwin.operators.bounded import small
+from lumatwin.stage import Stage
 from lumatwin.tables import current_files, table
 
 _ZONE = r"(Z|z|(?:UTC|GMT)?[+\-−]\d{1,2}(?::?\d{2})?|UTC|GMT)?"
@@ -129,28 +130,89 @@ def known_zone(zone: Column) -> Column:
     return F.when(zone.rlike(r"^(UTC|[A-Z][A-Za-z]+(/[A-Z][A-Za-z_\-]+)+)$"), zone)
 
 
+def _tried(samples: DataFrame, candidates: list[str], tolerance_s: int) -> DataFrame:
+    """(place, _c(k, zone), _month, violated) of each sample and candidate. Samples without any evidence are left out."""
+    known = [c for c in ("anchor_us", "ingested_us", "after_us", "before_us") if c in samples.columns]
+    some = F.coalesce(*[F.col(c) for c in known]).isNotNull()
+    tries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(z).alias("zone")) for k, z in enumerate(candidates)])
+    rows = samples.where(F.col("local_us").isNotNull() & some).withColumn("_c", F.explode(tries))
+    instant, slack = local_to_utc_us(F.col("local_us"), F.col("_c.zone")), tolerance_s * 1_000_000
+    broken = {
+        "anchor_us": lambda c: F.abs(instant - c) > slack, "ingested_us": lambda c: instant > c + slack, "after_us": lambda c: instant < c - slack, "before_us": lambda c: instant > c + slack,
+    }
+    violated = F.lit(False)
+    for c in known:
+        violated = violated | F.coalesce(broken[c](F.col(c)), F.lit(False))
+    month = F.trunc(F.timestamp_micros("local_us").cast("date"), "month")
+    return rows.select("place", "_c", month.alias("_month"), violated.cast("long").alias("violated"))
+
+
 def estimate_zones(samples: DataFrame, candidates: list[str], tolerance_s: int = 90) -> DataFrame:
-    """(place, zone, violations, samples): for each place the offset history with the fewest violations.
+    """(place, zone, violations, samples): for each place the zone with the fewest violations.
 
-    samples(place, local_us, anchor_us?, ingested_us?): wall clocks without a zone, and what is known besides: an
-    independent instant, and the time after which the record can't have been made. A candidate is violated by a sample
-    if it puts the instant more than tolerance_s from the anchor, or after ingestion. Samples with neither are no
-    evidence. Ties go to the candidate that comes first. The list of candidates is a bounded parameter (512 at most); counts
-    are summed per place and candidate before the shuffle, so a place with a third of all rows is no hot key.
+    samples(place, local_us, anchor_us?, ingested_us?, after_us?, before_us?): wall clocks without a zone, and what is known besides: an
+    independent instant, the time after which the record can't have been made, and instants of earlier and later records in
+    sequence (see in_sequence). A candidate is violated by a sample if it puts the instant more than tolerance_s from the anchor or beyond one of
+    the bounds. Samples with none of these are no evidence. Ties go to the candidate that comes first. Counts are summed per place and
+    candidate before the shuffle, so a place with a third of all rows is no hot key.
     """
-    if len(candidates) > 512:
-        raise ValueError("at most 512 candidate zones")
-    tries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(z).alias("zone")) for k, z in enumerate(candidates)])
-    rows = samples.where("local_us IS NOT NULL AND (anchor_us IS NOT NULL OR ingested_us IS NOT NULL)").withColumn("_c", F.explode(tries))
-    instant = local_to_utc_us(F.col("local_us"), F.col("_c.zone"))
-    off = F.abs(instant - F.col("anchor_us")) > tolerance_s * 1_000_000
-    late = instant > F.col("ingested_us") + tolerance_s * 1_000_000
-    violated = F.coalesce(off, F.lit(False)) | F.coalesce(late, F.lit(False))
-    sums = rows.groupBy("place", "_c").agg(F.sum(violated.cast("long")).alias("violations"), F.count("*").alias("samples"))
+    sums = _tried(samples, candidates, tolerance_s).groupBy("place", "_c").agg(F.sum("violated").alias("violations"), F.count("*").alias("samples"))
     best = sums.groupBy("place").agg(F.min(F.struct("violations", F.col("_c.k").alias("k"), F.col("_c.zone").alias("zone"), "samples")).alias("b"))
     return best.select("place", "b.zone", "b.violations", "b.samples")
 
 
+def zone_names(spark: SparkSession, years: tuple[int, int] = (2010, 2026)) -> list[str]:
+    """Names of zones, Area/Place and UTC, that the JVM knows: of those whose offsets are the same on every day of the years only the first by name."""
+    ids = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()
+    names = sorted(z for z in map(str, ids) if z == "UTC" or ("/" in z and not z.startswith(("Etc/", "SystemV/", "US/"))))
+    zones = spark.createDataFrame([(z,) for z in names], "zone string").repartition(spark.sparkContext.defaultParallelism)
+    days = F.explode(F.sequence(F.lit(f"{years[0]}-01-01").cast("date"), F.lit(f"{years[1]}-01-01").cast("date"))).alias("day")
+    noon = F.unix_date("day").cast("long") * 86_400_000_000 + 43_200_000_000
+    offset = (noon - local_to_utc_us(noon, F.col("zone"))) / 60_000_000
+    same = zones.select("zone", days).groupBy("zone").agg(F.sum(F.xxhash64("day", offset).cast("decimal(30,0)")).alias("h"))
+    return sorted(r.zone for r in same.groupBy("h").agg(F.min("zone").alias("zone")).collect())  # some hundred names
+
+
+def estimate_history(samples: DataFrame, candidates: list[str] | None = None, tolerance_s: int = 90, gain: int = 3) -> DataFrame:
+    """(place, zone, since_us, until_us, violations, samples): the offset history of each place with the fewest violations.
+
+    samples as for estimate_zones. A history is one zone, or two with a change at the start of a month, if that saves at least ``gain`` violations;
+    since_us and until_us bound the wall clocks that a zone holds for (null: no bound). candidates: all zones the JVM knows unless given. Ties go
+    to the candidate that comes first and the earliest change. Violations are counted per place, month and zone before anything is shuffled;
+    what follows is as large as the places times months times zones, whatever the samples.
+    """
+    spark = samples.sparkSession
+    candidates = zone_names(spark) if candidates is None else candidates
+    months = _tried(samples, candidates, tolerance_s).groupBy("place", "_c", "_month").agg(F.sum("violated").alias("v"), F.count("*").alias("n"))
+    months = Stage(spark, "zones").write(months.select("place", "_c.k", "_c.zone", "_month", "v", "n"), "months")
+    # every zone was tried on the same samples, so it has a row for each month that has some
+    up_to = Window.partitionBy("place", "k").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.partitionBy("place", "k")
+    sums = months.select("place", "k", "zone", "_month", F.coalesce(F.sum("v").over(up_to), F.lit(0)).alias("before"), F.sum("v").over(all_).alias("total"), F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n0"), F.sum("n").over(all_).alias("n"))
+    pick = lambda v: F.min(F.struct(v.alias("v"), "k", "zone"))
+    cut = sums.groupBy("place", "_month").agg(pick(F.col("before")).alias("old"), pick(F.col("total") - F.col("before")).alias("new"), pick(F.col("total")).alias("one"), F.max("n0").alias("n0"), F.max("n").alias("n"))
+    best = cut.groupBy("place").agg(F.min(F.struct((F.col("old.v") + F.col("new.v")).alias("v"), "_month", "old", "new", "n0", "n")).alias("two"), F.min("one").alias("one"))
+    at = F.unix_date(F.col("two._month")).cast("long") * 86_400_000_000
+    none, long_ = F.lit(None).cast("long"), "long"
+    part = lambda zone, since, until, v, n: F.struct(zone.alias("zone"), since.alias("since_us"), until.alias("until_us"), v.cast(long_).alias("violations"), n.cast(long_).alias("samples"))
+    one = F.array(part(F.col("one.zone"), none, none, F.col("one.v"), F.col("two.n")))
+    two = F.array(part(F.col("two.old.zone"), none, at, F.col("two.old.v"), F.col("two.n0")), part(F.col("two.new.zone"), at, none, F.col("two.new.v"), F.col("two.n") - F.col("two.n0")))
+    changed = (F.col("two.n0") > 0) & (F.col("one.v") - F.col("two.v") >= gain)
+    return best.select("place", F.explode(F.when(changed, two).otherwise(one)).alias("p")).select("place", "p.*")
+
+
+def in_sequence(rows: DataFrame, order: str, stretch: int = 1000) -> DataFrame:
+    """rows(place, known_us?, ...) with after_us and before_us: the latest known instant before a row in its place's order, and the earliest after it.
+
+    Only rows of one stretch of the order (numbers of the column, ``stretch`` at a time) tell of each other: neighbours in sequence are what counts, and
+    a place with most rows is many tasks. Rows without such neighbours get nulls.
+    """
+    key = ["place", F.floor(F.col(order) / stretch)]
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return rows.withColumns({"after_us": F.max("known_us").over(before), "before_us": F.min("known_us").over(after)})
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per current file: its library, what its texts say, and the other times known of it."""
     files = current_files(spark, sf_dir, ["id", "last_seen_at", "path", "exif_dt", "created_at"]).withColumnRenamed("id", "file_id")
@@ -171,9 +233,9 @@ def _stored_ms(value: Column) -> Column:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The zones named in libraries, at most 512 of them, in the order of their names."""
-    zones = table(spark, sf_dir, "libraries").select(known_zone(F.col("home_zone")).alias("z")).where("z IS NOT NULL").distinct().orderBy("z").limit(512)
-    return [r.z for r in zones.collect()]
+    """The zones named in libraries, in the order of their names; a zone once, so there are no more than the world has."""
+    zones = table(spark, sf_dir, "libraries").select(known_zone(F.col("home_zone")).alias("z")).where("z IS NOT NULL").distinct()
+    return sorted(r.z for r in zones.collect())
 
 
 def zone_samples(seen: DataFrame) -> DataFrame:
@@ -191,6 +253,14 @@ def zone_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declared.join(found, "place", "left").select(F.col("place").alias("library_id"), "home_zone", F.col("zone").alias("estimated_zone"), "violations", "samples")
 
 
+def offset_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each library the offset history its unzoned times fit best, out of all zones there are, whatever it declares: offsets in minutes in winter and summer of each part."""
+    found = estimate_history(zone_samples(evidence(spark, sf_dir)))
+    at = lambda day: ((F.unix_micros(F.lit(f"{day} 12:00:00Z").cast("timestamp")) - local_to_utc_us(F.unix_micros(F.lit(f"{day} 12:00:00Z").cast("timestamp")), F.col("zone"))) / 60_000_000).cast("int")
+    month = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM")
+    return found.select(F.col("place").alias("library_id"), month("since_us").alias("since"), "zone", at("2020-01-15").alias("winter_minutes"), at("2020-07-15").alias("summer_minutes"), "violations", "samples")
+
+
 def capture_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, epoch_ms): the capture instant of each file, where it can be told.
 
@@ -201,8 +271,9 @@ def capture_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     without = table(spark, sf_dir, "libraries").where(known_zone(F.col("home_zone")).isNull())
     home = known_zone(F.col("home_zone"))
     if not without.isEmpty():  # places that declare no zone: estimate it
-        found = estimate_zones(zone_samples(seen.where(home.isNull())), _candidates(spark, sf_dir)).select(F.col("place").alias("library_id"), F.col("zone").alias("_zone"))
-        seen = seen.join(small(found), "library_id", "left")
+        found = estimate_history(zone_samples(seen.where(home.isNull()))).select(F.col("place").alias("_place"), F.col("zone").alias("_zone"), "since_us", "until_us")
+        holds = (F.col("library_id") == F.col("_place")) & (F.col("since_us").isNull() | (F.col("local_us") >= F.col("since_us"))) & (F.col("until_us").isNull() | (F.col("local_us") < F.col("until_us")))
+        seen = seen.join(small(found), holds, "left")
         home = F.coalesce(home, F.col("_zone"))
     minutes = F.coalesce(offset_minutes(F.col("zone_text")), offset_minutes(F.col("timezone_offset")))
     us = _let(minutes, lambda m: F.when(m.isNotNull(), F.col("local_us") - m.cast("long") * 60_000_000).otherwise(local_to_utc_us(F.col("local_us"), home)))

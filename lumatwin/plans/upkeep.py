@@ -193,6 +193,11 @@ def oracle_sql() -> dict[str, str]:
         "w05_rolling_p95": f"WITH e AS ({ev.format('event_type')}), w AS (SELECT event_id, key, avg(value) OVER q mean, list_sort(list(value) OVER q) l FROM e WINDOW q AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT event_id, key, round(mean, 9) mean, round(l[least(len(l) * 95 // 100, len(l) - 1) + 1], 9) p95 FROM w",
         "w07_interaction_rate": f"WITH e AS ({ev.format('user_id')}) SELECT event_id, key, count(*) OVER q recent, count(*) OVER q >= 3 busy FROM e WINDOW q AS (PARTITION BY key ORDER BY {micros} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)",
         "w08_throttle_delay": f"WITH e AS ({ev.format('user_id')}) SELECT event_id, key, round(coalesce(greatest(0, 3600.0::DOUBLE - ({micros} - lag({micros}) OVER (PARTITION BY key ORDER BY ts, event_id)) / 1e6), 0), 6) wait FROM e",
+        "w07_back_off": f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS key, {micros} / 1e6::DOUBLE t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) rn FROM events),
+st AS (SELECT 0::BIGINT event_id, key, 0::BIGINT rn, []::DOUBLE[] r, -1e300::DOUBLE since, false backed_off FROM (SELECT DISTINCT key FROM e)
+  UNION ALL SELECT event_id, key, rn, r, CASE WHEN NOT held AND len(r) >= 3 THEN t ELSE since END, held OR len(r) >= 3
+  FROM (SELECT e.event_id, e.key, e.rn, e.t, list_append(list_filter(st.r, lambda x: x > e.t - 3600), e.t) r, st.since, e.t - st.since < 7200 held FROM st JOIN e ON e.key IS NOT DISTINCT FROM st.key AND e.rn = st.rn + 1))
+SELECT event_id, key, backed_off FROM st WHERE rn > 0""",
         "w10_recent": "SELECT event_id, event_type AS key, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) place FROM events) WHERE place <= 10",
         "i05_idle_sessions": f"WITH e AS ({ev.format('user_id')}), l AS (SELECT *, coalesce({micros} - lag({micros}) OVER (PARTITION BY key ORDER BY ts, event_id) >= 36000000000, true)::INT s FROM e), g AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY ts, event_id) g FROM l) SELECT key, count(*) n, min(ts) AS first, max(ts) AS last FROM g GROUP BY key, g",
         "a22_outcomes": "SELECT count(*) total, count(*) FILTER (event_type = 'purchase') passed, count(*) FILTER (event_type = 'error') failed, count(*) FILTER (event_type NOT IN ('purchase', 'error')) skipped, count(*) FILTER (event_type = 'purchase') * 100.0::DOUBLE / count(*) percent FROM events",

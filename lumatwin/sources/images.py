@@ -1,34 +1,85 @@
-"""Sizes, exif fields and perceptual hashes from image contents. Needs Pillow; without it these columns are null."""
+"""Sizes, exif fields and perceptual hashes from image contents. Decoding needs Pillow; without it these columns are null."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "width int, height int, orientation int, taken string, camera_make string, camera_model string, phash string, dhash string"
+# Numbers of the exif tags that are read.
+TAGS = {
+    "orientation": 274, "datetime_original": 36867, "datetime_digitized": 36868, "datetime_modified": 306, "camera_make": 271, "camera_model": 272, "iso_speed": 34855, "focal_length": 37386, "f_number": 33437, "exposure_time": 33434,
+    "flash": 37385, "timezone_offset": 36881,
+}
+SCHEMA = (
+    "width int, height int, orientation int, taken string, digitized string, modified string, camera_make string, camera_model string, iso_speed int, focal_length double, f_number double, exposure_time string, flash boolean, "
+    "timezone_offset string, phash string, dhash string, whash string"
+)
+
+
+def _hex(bits: np.ndarray) -> str:
+    return f"{int(''.join('1' if x else '0' for x in bits.ravel()), 2):016x}"
+
+
+def phash(grey: np.ndarray) -> str:
+    """Signs of the 8 x 8 lowest cosine waves of a 32 x 32 grey picture against their median."""
+    k = np.arange(32)
+    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:8, None] / 64)
+    low = basis @ grey.astype(float) @ basis.T
+    return _hex(low > np.median(low))
+
+
+def dhash(grey: np.ndarray) -> str:
+    """Whether each of the 8 x 9 grey values is less than the next of its row."""
+    return _hex(grey[:, 1:].astype(int) > grey[:, :-1].astype(int))
+
+
+def whash(grey: np.ndarray) -> str:
+    """The coarsest 8 x 8 Haar averages of a square grey picture whose side is 8 times a power of two, against their median; the mean of the whole picture is taken out first."""
+    side = len(grey) // 8
+    means = grey.astype(float).reshape(8, side, 8, side).mean(axis=(1, 3))
+    means = means - means.mean()
+    return _hex(means > np.median(means))
+
+
+def exif_fields(tags: dict) -> dict:
+    """The fields of SCHEMA that exif tags (by number) tell; what is missing or can't be read is None, an orientation out of range 1."""
+    get = lambda name: tags.get(TAGS[name])
+
+    def read(name, kind):
+        try:
+            return None if get(name) in (None, "", 0) else kind(get(name))
+        except (TypeError, ValueError, ZeroDivisionError):
+            return None
+
+    turn, text = read("orientation", int) or 1, lambda v: str(v).strip("\x00 \t\r\n") or None
+    offset = re.fullmatch(r"[+-]\d{2}:\d{2}", read("timezone_offset", text) or "")
+    return {
+        "orientation": turn if 1 <= turn <= 8 else 1, "taken": read("datetime_original", str), "digitized": read("datetime_digitized", str), "modified": read("datetime_modified", str), "camera_make": read("camera_make", text),
+        "camera_model": read("camera_model", text), "iso_speed": read("iso_speed", int), "focal_length": read("focal_length", float), "f_number": read("f_number", float), "exposure_time": read("exposure_time", str),
+        "flash": None if get("flash") is None else bool(int(get("flash")) & 1), "timezone_offset": offset and offset[0],
+    }
 
 
 def _read(content: bytes) -> tuple:
     import io
 
-    import numpy as np
     from PIL import Image
 
     with Image.open(io.BytesIO(content)) as image:
-        tags = image.getexif()
-        turn = tags.get(274, 1)
-        turn = turn if turn in range(1, 9) else 1
-        w, h = image.size if turn < 5 else image.size[::-1]
-        grey = np.asarray(image.convert("L").resize((9, 8)), dtype=np.float64)
-        small = np.asarray(image.convert("L").resize((32, 32)), dtype=np.float64)
-        k = np.arange(32)
-        basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:8, None] / 64)
-        low = basis @ small @ basis.T
-        bits = lambda b: f"{int(''.join('1' if x else '0' for x in b.ravel()), 2):016x}"
-        taken = tags.get_ifd(0x8769).get(36867) or tags.get(306)
-        return w, h, turn, taken, tags.get(271), tags.get(272), bits(low > np.median(low)), bits(grey[:, 1:] > grey[:, :-1])
+        found = image.getexif()
+        fields = exif_fields({**found, **found.get_ifd(0x8769)})
+        w, h = image.size if fields["orientation"] < 5 else image.size[::-1]
+        grey = image.convert("L")
+        at = lambda *size: np.asarray(grey.resize(size))
+        side = 8
+        while side * 2 <= min(image.size):
+            side *= 2
+        values = {"width": w, "height": h, **fields, "phash": phash(at(32, 32)), "dhash": dhash(at(9, 8)), "whash": whash(at(side, side))}
+        return tuple(values[x.split()[0]] for x in SCHEMA.split(", "))
 
 
 def described(files: DataFrame) -> DataFrame:

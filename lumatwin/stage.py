@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,6 +30,7 @@ def ship(spark: SparkSession) -> None:
         return
     here = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="lumatwin-code-")) / "lumatwin-code.zip"  # read by the driver only, which sends it on
+    atexit.register(shutil.rmtree, at.parent, True)
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, str(Path("lumatwin") / p.relative_to(here)))

@@ -59,20 +59,40 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
 class SnapshotSink:
     """foreachBatch sink that carries a snapshot table along: every batch of a listing makes the next version.
 
-    A batch that is run again (after a failure) starts from the version before it, so it counts once.
+    Versions are folders below ``path`` (by default one of its own), so a sink that's made again at the same path goes on where the last one
+    stopped, and ``first`` counts only where there is none yet. A batch that is run again (after a failure) starts from the version before it, so it
+    counts once. The last two versions are kept.
     """
 
-    def __init__(self, spark: SparkSession, first: DataFrame) -> None:
-        self.stage, self.versions = Stage(spark, "snapshot"), {-1: None}
-        self.versions[-1] = self.stage.write(first, "first")
+    def __init__(self, spark: SparkSession, first: DataFrame, path: str | None = None) -> None:
+        self.spark, self.schema, self.stage = spark, first.schema, Stage(spark, "snapshot")
+        self.path = path or self.stage.path("versions")
+        if not self._versions():
+            first.write.mode("overwrite").parquet(self._at(-1))
+
+    def _at(self, number: int) -> str:
+        return f"{self.path}/v{number + 1:012d}"
+
+    def _versions(self) -> list[int]:
+        """The batches of the versions that were written to the end."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(conf)
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n[1:]) - 1 for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _read(self, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self._at(number))
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        before = self.versions[max(k for k in self.versions if k < number)]
+        before = self._read(max(k for k in self._versions() if k < number))
         seen = batch.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("s")).select("path", "s.size", "s.mtime")
         # files that the batch doesn't name are as they were: it's no listing of all files
         untouched = before.join(seen.select("path"), "path", "left_anti")
         touched = snapshots.merge(before, seen, float(number)).join(seen.select("path"), "path", "left_semi")
-        self.versions[number] = self.stage.write(untouched.unionByName(touched), "version")
+        untouched.unionByName(touched).write.mode("overwrite").parquet(self._at(number))
+        for old in [k for k in self._versions() if k < number][:-1]:
+            self.stage.delete(self._at(old))
 
     def current(self) -> DataFrame:
-        return self.versions[max(self.versions)]
+        return self._read(self._versions()[-1])

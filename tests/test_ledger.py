@@ -128,3 +128,34 @@ def test_signatures(spark):
     df = spark.createDataFrame([(1, [0.0, 300.0]), (1, [4.0, 300.0]), (1, [2.0]), (1, None), (2, [None, 16.5]), (3, [])], "k long, d array<double>")
     assert {r.k: r.signature for r in signatures.moments(df, "k", "d").collect()} == {1: "02ff0100", 2: "1000"}
     assert signatures.moments(df.limit(0), "k", "d").count() == 0
+
+
+def test_hashes_of_pixels():
+    """Flat steps and ramps, a shift in brightness, and pictures unlike each other; the same values as by hand."""
+    import numpy as np
+
+    ramp = np.tile(np.arange(9) * 10, (8, 1))
+    assert images.dhash(ramp) == "f" * 16 and images.dhash(ramp[:, ::-1]) == "0" * 16
+    half = np.zeros((64, 64), np.uint8)
+    half[:, 32:] = 200
+    assert images.whash(half) == "0f" * 8
+    rng = np.random.default_rng(2)
+    coarse = rng.integers(0, 200, (8, 8))
+    fine = lambda n: np.kron(coarse, np.ones((n, n))).astype(np.uint8)
+    assert images.whash(fine(4)) == images.whash(fine(16)) == images.whash(fine(8) + 20)
+    bits = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    p = images.phash(fine(4))
+    assert bits(p, images.phash(fine(4) + 20)) <= 2 and bits(p, images.phash(np.clip(fine(4) + rng.normal(0, 3, (32, 32)), 0, 255))) <= 8 < bits(p, images.phash(rng.integers(0, 200, (32, 32))))
+
+
+def test_exif_tags():
+    got = images.exif_fields({274: 6, 36867: "2020:01:02 03:04:05", 271: " Orel ", 272: "K1\x00", 34855: "400", 37386: 35.5, 33437: "x", 33434: 0.004, 37385: 25, 36881: "+02:00"})
+    assert got["orientation"] == 6 and got["taken"] == "2020:01:02 03:04:05" and got["camera_make"] == "Orel" and got["camera_model"] == "K1" and got["iso_speed"] == 400 and got["f_number"] is None and got["flash"] is True and got["timezone_offset"] == "+02:00"
+    none = images.exif_fields({274: 77, 37385: 16, 36881: "local", 271: ""})
+    assert none["orientation"] == 1 and none["flash"] is False and {k for k, v in none.items() if v is not None} == {"orientation", "flash"}
+
+
+def test_unreadable_contents_are_null(spark):
+    df = spark.createDataFrame([("/a.jpg", bytearray(b"no image")), ("/b.jpg", None)], "path string, content binary")
+    rows = images.described(df).collect()
+    assert len(rows) == 2 and all(r.width is None and r.whash is None for r in rows) and "content" not in rows[0]

@@ -9,7 +9,7 @@ from lumatwin.plans import catalog
 
 SQL, QUERIES = catalog.oracle_sql(), catalog.queries()
 #: Queries that SQL can't express: tested elsewhere.
-WITHOUT_SQL = {"p3_found", "p3_zone_history", "w07_back_off"}
+WITHOUT_SQL = {"p3_found", "p3_zone_history", "p3_offset_history"}
 
 
 def test_every_query_has_sql_or_a_test():

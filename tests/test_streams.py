@@ -48,7 +48,11 @@ def test_snapshot_sink(spark, tmp_path):
     sink(batch([("/a", 2, 5.0), ("/c", 3, 1.0)]), 0)
     sink(batch([("/d", 3, 1.0)]), 1)
     sink(batch([("/d", 3, 1.0)]), 1)  # run again
-    assert {(r.file_id, r.path, r.size, r.status) for r in sink.current().collect()} == {(1, "/a", 2, "active"), (2, "/b", 1, "active"), (3, "/c", 3, "active"), (4, "/d", 3, "active")}
+    expected = {(1, "/a", 2, "active"), (2, "/b", 1, "active"), (3, "/c", 3, "active"), (4, "/d", 3, "active")}
+    assert {(r.file_id, r.path, r.size, r.status) for r in sink.current().collect()} == expected
+    again = streams.SnapshotSink(spark, first.limit(0), sink.path)  # another session goes on
+    again(batch([("/e", 9, 1.0)]), 2)
+    assert {(r.file_id, r.path, r.size, r.status) for r in again.current().collect()} == expected | {(5, "/e", 9, "active")} and len(again._versions()) == 2
 
 
 def test_listing(spark, tmp_path):
