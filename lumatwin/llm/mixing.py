@@ -179,10 +179,10 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each source of each mix was to contribute and does contribute."""
+    """What each source of each mix was to contribute and does contribute, in tokens and in documents (planned_docs and drawn_docs count a document as often as it's used)."""
     chosen, planned = mix(spark, _documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
-    got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("docs"), F.max("repeats").alias("most_repeats"))
+    got = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("docs"), F.sum("repeats").alias("drawn_docs"), F.max("repeats").alias("most_repeats"))
     whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
-    rows = planned.join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left").na.fill(0, ["tokens", "docs", "most_repeats", "mix_tokens"])
+    rows = planned.join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left").na.fill(0, ["tokens", "docs", "drawn_docs", "most_repeats", "mix_tokens"])
     actual = F.when(F.col("mix_tokens") > 0, F.col("tokens") / F.col("mix_tokens")).otherwise(0.0).alias("actual_share")
-    return rows.select("mix_id", "source", "target_share", actual, "wanted_tokens", "planned_tokens", "tokens", "docs", "most_repeats", "max_repeats")
+    return rows.select("mix_id", "source", "target_share", actual, "wanted_tokens", "planned_tokens", "tokens", ((F.col("whole") + F.col("p")) * F.col("source_docs")).alias("planned_docs"), "drawn_docs", "docs", "most_repeats", "max_repeats")

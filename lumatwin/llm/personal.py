@@ -22,14 +22,15 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumatwin.stage import spread
+from lumatwin.stage import Stage, spread
 from lumatwin.tables import table
 
 KINDS = ("email", "address", "id_number", "phone", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "address": "[ADDRESS]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "name": "[NAME]"}
-#: People whose names are taken from the list; a longer list is refused, as it's sent to every task.
-MOST_PEOPLE = 100_000
+#: Different names that are sent to every task. Beyond, the words of each text are joined with those that can be names: the result is the same.
+MOST_NAMES = 100_000
 
 # --- folding -----------------------------------------------------------------------------------------------------------
 
@@ -449,46 +450,101 @@ def finder(given: tuple[str, ...], family: tuple[str, ...]) -> Finder:
     return Finder(name_words(list(given)), name_words(list(family)))
 
 
-def known_names(people: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """The given and family names of the list of people, at most MOST_PEOPLE of each."""
-    rows = people.select("given_name", "family_name").distinct().limit(MOST_PEOPLE + 1).collect()
-    if len(rows) > MOST_PEOPLE:
-        raise ValueError(f"more than {MOST_PEOPLE} people: their names aren't sent to every task")
-    return tuple(sorted({r[0] for r in rows if r[0]})), tuple(sorted({r[1] for r in rows if r[1]}))
+def known_names(people: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]] | None:
+    """The given and family names of the list of people; None if there are more than MOST_NAMES different ones."""
+    both = people.select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("given_name").alias("n")), F.struct(F.lit(1).alias("k"), F.col("family_name").alias("n")))).alias("x"))
+    rows = both.select("x.*").where("n <> ''").distinct().limit(MOST_NAMES + 1).collect()
+    return None if len(rows) > MOST_NAMES else tuple(tuple(sorted(r.n for r in rows if r.k == k)) for k in (0, 1))
+
+
+def _name_tables(people: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """name_words for a list of any length: tables (kind, word), (kind, stem) and (kind, ending); kind is 0 for given and 1 for family names."""
+    names = people.select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("given_name").alias("name")), F.struct(F.lit(1).alias("kind"), F.col("family_name").alias("name")))).alias("x")).select("x.*").where("name <> ''").distinct()
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = [(k, w) for k, n in zip(x["kind"].to_pylist(), x["name"].to_pylist()) for w in re.split(r"[\s\-]+", fold_word(n)) if w.isalpha() and len(w) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.string())], ["kind", "word"])
+
+    stage = Stage(people.sparkSession, "names")
+    words = stage.write(spread(names).mapInArrow(folded, "kind int, word string").distinct(), "words")
+    n = F.length("word")
+    cuts = words.where(n > 4).select("kind", "word", F.explode(F.sequence(F.lit(3), n - 2)).alias("at"))
+    cuts = stage.write(cuts.select("kind", "word", "at", F.substring("word", F.lit(1), F.col("at")).alias("stem"), F.expr("substring(word, at + 1)").alias("ending")), "cuts")
+    count = lambda c: cuts.groupBy("kind", c).agg(F.count("*").alias(f"n_{c}"))
+    rated = cuts.join(count("stem"), ["kind", "stem"]).join(count("ending"), ["kind", "ending"])
+    best = stage.write(rated.groupBy("kind", "word").agg(F.max_by(F.struct("stem", "ending"), F.struct(F.col("n_stem") * F.col("n_ending"), "at")).alias("b")).select("kind", "b.*"), "best")
+    often = lambda c: best.groupBy("kind", c).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("kind", c)
+    return words, often("stem"), often("ending")
+
+
+def _with_names(df: DataFrame, people: DataFrame, text: str) -> DataFrame:
+    """df with the words of each text that can be names, as arrays _given and _family: for lists too long to be sent to every task."""
+    stage = Stage(df.sparkSession, "texts")
+    listed, stems, endings = _name_tables(people)
+    longest = 2 * (listed.agg(F.max(F.length("word"))).first()[0] or 0)  # a stem and an ending are parts of listed words
+    key = F.sha2(F.col(text), 256)
+    texts = spread(df.where(F.col(text) != "").select(key.alias("_key"), F.col(text).alias("_text")))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rows = [(k, w) for k, t in zip(x["_key"].to_pylist(), x["_text"].to_pylist()) for w in {*"".join(c if c.isalpha() else " " for c in fold(t)[0]).split()} if 2 < len(w) <= longest]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], ["_key", "word"])
+
+    found = stage.write(texts.mapInArrow(words, "_key string, word string").distinct(), "words")
+    different = found.select("word").distinct()
+    parts = different.where(F.length("word") > 3).select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 1)).alias("at")).select("word", F.substring("word", F.lit(1), F.col("at")).alias("stem"), F.expr("substring(word, at + 1)").alias("ending"))
+    made = parts.join(stems, "stem").join(endings, ["kind", "ending"]).select("kind", "word")
+    can = listed.join(different, "word", "left_semi").select("kind", "word").union(made).distinct()
+    per = found.join(can, "word").groupBy("_key").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("word"))).alias(n) for k, n in ((0, "_given"), (1, "_family"))])
+    return df.withColumn("_key", key).join(per, "_key", "left").drop("_key")
+
+
+def _prepared(df: DataFrame, people: DataFrame, text: str):
+    """df, perhaps with columns of names, and a function that gives the finder of a row of a batch."""
+    names = known_names(people)
+    if names is not None:
+        return df, lambda x: (lambda k: finder(*names))
+    empty = frozenset()
+
+    def of(x: pa.RecordBatch):
+        given, family = x["_given"].to_pylist(), x["_family"].to_pylist()
+        return lambda k: Finder(*[NameWords(frozenset(w[k] or ()), empty, empty) for w in (given, family)])
+
+    return _with_names(df, people, text), of
 
 
 def found(df: DataFrame, people: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, value): the distinct details of each text, exactly as they stand in it. Null and empty texts have none."""
-    names = known_names(people)
+    rows, finders = _prepared(df.select(key, text), people, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = finder(*names)
         for x in batches:
-            rows = [(k, kind, v) for k, t in zip(x[key].to_pylist(), x[text].to_pylist()) if t for kind, v in dict.fromkeys((kind, t[a:b]) for a, b, kind in f.spans(t))]
+            of = finders(x)
+            rows = [(i, kind, v) for k, (i, t) in enumerate(zip(x[key].to_pylist(), x[text].to_pylist())) if t for kind, v in dict.fromkeys((kind, t[a:b]) for a, b, kind in of(k).spans(t))]
             ids, kinds, values = ([r[n] for r in rows] for n in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids, x[key].type), pa.array(kinds, pa.string()), pa.array(values, pa.string())], [key, "kind", "value"])
 
-    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, kind string, value string")
+    return spread(rows).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, kind string, value string")
 
 
 def redacted(df: DataFrame, people: DataFrame, text: str = "text") -> DataFrame:
     """df with typed placeholders in place of the details, texts otherwise unchanged; null stays null."""
-    names = known_names(people)
     columns = df.columns
+    rows, finders = _prepared(df, people, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = finder(*names)
         for x in batches:
-            out = []
-            for t in x[text].to_pylist():
+            of, out = finders(x), []
+            for k, t in enumerate(x[text].to_pylist()):
                 parts, last = [], 0
-                for a, b, kind in f.spans(t) if t else ():
+                for a, b, kind in of(k).spans(t) if t else ():
                     parts += [t[last:a], PLACEHOLDERS[kind]]
                     last = b
                 out.append(None if t is None else "".join([*parts, t[last:]]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else x[c] for c in columns], columns)
 
-    return spread(df).mapInArrow(run, df.schema)
+    return spread(rows).mapInArrow(run, df.schema)
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:

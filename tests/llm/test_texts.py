@@ -179,6 +179,15 @@ def test_redacted(spark, people):
     assert got == {1: "Mail [NAME], [EMAIL],\r\n[PHONE]!", 2: None, 3: "nothing here "}
 
 
+def test_long_lists_of_people(spark, people, monkeypatch):
+    """A list too long to be sent to every task gives the same details and the same texts."""
+    df = spark.createDataFrame([*[(k, t) for k, (t, _) in enumerate(FOUND)], (999, None), (1000, FOUND[0][0])], "doc_id long, text string")
+    both = lambda: ({tuple(r) for r in personal.found(df, people).collect()}, {tuple(r) for r in personal.redacted(df, people).collect()})
+    short = both()
+    monkeypatch.setattr(personal, "MOST_NAMES", 3)
+    assert personal.known_names(people) is None and both() == short
+
+
 def test_values_stand_in_their_texts(spark, tiny):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     rows = personal.details(spark, tiny).collect()
