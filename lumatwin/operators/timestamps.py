@@ -173,10 +173,11 @@ def zone_names(spark: SparkSession, years: tuple[int, int] = (2010, 2026)) -> li
     return sorted(r.zone for r in same.groupBy("h").agg(F.min("zone").alias("zone")).collect())  # some hundred names
 
 
-def estimate_history(samples: DataFrame, candidates: list[str] | None = None, tolerance_s: int = 90, gain: int = 3) -> DataFrame:
+def estimate_history(samples: DataFrame, candidates: list[str] | None = None, tolerance_s: int = 90, gain: float = 0.02, part: int = 20) -> DataFrame:
     """(place, zone, since_us, until_us, violations, samples): the offset history of each place with the fewest violations.
 
-    samples as for estimate_zones. A history is one zone, or two with a change at the start of a month, if that saves at least ``gain`` violations;
+    samples as for estimate_zones. A history is one zone, or two with a change at the start of a month, if that saves violations in at least the share
+    ``gain`` of the samples, and three, and each zone has ``part`` samples: with hundreds of zones to choose from, some fits a few odd samples by chance;
     since_us and until_us bound the wall clocks that a zone holds for (null: no bound). candidates: all zones the JVM knows unless given. Ties go
     to the candidate that comes first and the earliest change. Violations are counted per place, month and zone before anything is shuffled;
     what follows is as large as the places times months times zones, whatever the samples.
@@ -191,13 +192,14 @@ def estimate_history(samples: DataFrame, candidates: list[str] | None = None, to
     sums = months.select("place", "k", "zone", "_month", F.coalesce(F.sum("v").over(up_to), F.lit(0)).alias("before"), F.sum("v").over(all_).alias("total"), F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n0"), F.sum("n").over(all_).alias("n"))
     pick = lambda v: F.min(F.struct(v.alias("v"), "k", "zone"))
     cut = sums.groupBy("place", "_month").agg(pick(F.col("before")).alias("old"), pick(F.col("total") - F.col("before")).alias("new"), pick(F.col("total")).alias("one"), F.max("n0").alias("n0"), F.max("n").alias("n"))
-    best = cut.groupBy("place").agg(F.min(F.struct((F.col("old.v") + F.col("new.v")).alias("v"), "_month", "old", "new", "n0", "n")).alias("two"), F.min("one").alias("one"))
+    enough = (F.col("n0") >= part) & (F.col("n") - F.col("n0") >= part)
+    best = cut.groupBy("place").agg(F.min(F.when(enough, F.struct((F.col("old.v") + F.col("new.v")).alias("v"), "_month", "old", "new", "n0"))).alias("two"), F.min("one").alias("one"), F.max("n").alias("n"))
     at = F.unix_date(F.col("two._month")).cast("long") * 86_400_000_000
     none, long_ = F.lit(None).cast("long"), "long"
-    part = lambda zone, since, until, v, n: F.struct(zone.alias("zone"), since.alias("since_us"), until.alias("until_us"), v.cast(long_).alias("violations"), n.cast(long_).alias("samples"))
-    one = F.array(part(F.col("one.zone"), none, none, F.col("one.v"), F.col("two.n")))
-    two = F.array(part(F.col("two.old.zone"), none, at, F.col("two.old.v"), F.col("two.n0")), part(F.col("two.new.zone"), at, none, F.col("two.new.v"), F.col("two.n") - F.col("two.n0")))
-    changed = (F.col("two.n0") > 0) & (F.col("one.v") - F.col("two.v") >= gain)
+    piece = lambda zone, since, until, v, n: F.struct(zone.alias("zone"), since.alias("since_us"), until.alias("until_us"), v.cast(long_).alias("violations"), n.cast(long_).alias("samples"))
+    one = F.array(piece(F.col("one.zone"), none, none, F.col("one.v"), F.col("n")))
+    two = F.array(piece(F.col("two.old.zone"), none, at, F.col("two.old.v"), F.col("two.n0")), piece(F.col("two.new.zone"), at, none, F.col("two.new.v"), F.col("n") - F.col("two.n0")))
+    changed = F.col("two").isNotNull() & (F.col("one.v") - F.col("two.v") >= F.greatest(F.lit(3.0), F.col("n") * gain))
     return best.select("place", F.explode(F.when(changed, two).otherwise(one)).alias("p")).select("place", "p.*")
 
 

@@ -97,7 +97,7 @@ def test_history_with_a_change_and_hidden_zones(spark):
             k += 1
             local = dt.datetime(2017, 6, 4, 12) + dt.timedelta(days=day)
             instant = int(local.replace(tzinfo=ZoneInfo(zone(local))).timestamp()) * 1_000_000
-            wrong = day % 45 == 0 if place != "glitch" else day > 710
+            wrong = day % 45 == 0 if place != "glitch" else day > 690
             anchor = None if place == "sequence" else instant + (86_400_000_000 if wrong else 0)
             near = (instant - 1_200_000_000, instant + 1_200_000_000) if place == "sequence" else (None, None)
             rows.append((place, int(local.replace(tzinfo=UTC).timestamp()) * 1_000_000, anchor, None, *near))
