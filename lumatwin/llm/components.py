@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumatwin.operators.bounded import sorted_join
 from lumatwin.stage import Stage
 
 #: Edges that one block holds at most, on average.
@@ -77,8 +78,8 @@ def components(spark: SparkSession, edges: DataFrame, side: int | None = None) -
         parents = _stable(stage, stage.write(found.groupBy("vertex").agg(F.min("root").alias("root")), "tree"))
         # what a vertex was told besides its smallest root: an edge between the two roots, as far as they aren't the same by now
         top = parents.select(F.col("vertex").alias("root"), F.col("root").alias("top"))
-        told = found.join(top, "root", "left").select("vertex", F.coalesce("top", "root").alias("v"))
-        told = told.join(parents.withColumnRenamed("root", "u"), "vertex").where("u <> v").select(*ends).distinct()
+        told = sorted_join(found, top, "root", "left").select("vertex", F.coalesce("top", "root").alias("v"))
+        told = sorted_join(told, parents.withColumnRenamed("root", "u"), "vertex").where("u <> v").select(*ends).distinct()
         after = stage.write(told, "edges")
         stage.drop(left, found)
         left = after
@@ -94,7 +95,7 @@ def _stable(stage: Stage, tree: DataFrame) -> DataFrame:
     """tree(vertex, root) with each vertex at the end of its chain of parents, by doubling."""
     while True:
         up = tree.select(F.col("vertex").alias("root"), F.col("root").alias("higher"))
-        jumped = stage.write(tree.join(up, "root", "left").select("vertex", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "tree")
+        jumped = stage.write(sorted_join(tree, up, "root", "left").select("vertex", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "tree")
         stage.drop(tree)
         still = not jumped.where("moved").isEmpty()
         tree = jumped.select("vertex", "root")

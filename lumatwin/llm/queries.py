@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumatwin.llm import codes, components, history, mixing, personal, survivors, tokens
 from lumatwin.llm.inputs import PHASH_RADIUS, file_batches, file_hashes
+from lumatwin.operators.bounded import sorted_join
 from lumatwin.operators.hamming import near_values
 from lumatwin.tables import table
 
@@ -34,14 +35,15 @@ def tie_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, v): each member of a group with the group's smallest, each file with the smallest of its phash, and those of near phashes."""
     files = table(spark, sf_dir, "files").select(F.col("id").alias("file_id")).where("file_id IS NOT NULL").distinct()
     groups = table(spark, sf_dir, "dup_groups").select(F.col("id").alias("group_id")).where("group_id IS NOT NULL").distinct()
-    members = table(spark, sf_dir, "group_members").select("group_id", "file_id").distinct().join(groups, "group_id", "left_semi").join(files, "file_id", "left_semi")
+    members = table(spark, sf_dir, "group_members").select("group_id", "file_id").distinct()
+    members = sorted_join(sorted_join(members, groups, "group_id", "left_semi"), files, "file_id", "left_semi")
     first = members.groupBy("group_id").agg(F.min("file_id").alias("u"))
-    hashed = file_hashes(spark, sf_dir, "phash").where("phash IS NOT NULL").join(files, "file_id", "left_semi")
+    hashed = sorted_join(file_hashes(spark, sf_dir, "phash").where("phash IS NOT NULL"), files, "file_id", "left_semi")
     lead = hashed.groupBy("phash").agg(F.min("file_id").alias("u"))
     near = near_values(hashed.select("phash"), PHASH_RADIUS, "phash").select("a", "b")
     a, b = lead.select(F.col("phash").alias("a"), "u"), lead.select(F.col("phash").alias("b"), F.col("u").alias("v"))
-    parts = [members.join(first, "group_id"), hashed.join(lead, "phash")]
-    return near.join(a, "a").join(b, "b").select("u", "v").union(parts[0].select("u", F.col("file_id").alias("v"))).union(parts[1].select("u", F.col("file_id").alias("v")))
+    parts = [sorted_join(members, first, "group_id"), sorted_join(hashed, lead, "phash")]
+    return sorted_join(sorted_join(near, a, "a"), b, "b").select("u", "v").union(parts[0].select("u", F.col("file_id").alias("v"))).union(parts[1].select("u", F.col("file_id").alias("v")))
 
 
 def tied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
