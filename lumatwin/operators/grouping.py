@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumatwin.functions import media
 from lumatwin.functions.hashes import hash_long
+from lumatwin.operators.bounded import sorted_join
 from lumatwin.operators.hamming import near_values
 from lumatwin.operators.presets import RADIUS
 from lumatwin.stage import Stage
@@ -26,7 +27,7 @@ def exact_groups(files: DataFrame, confirm: bool = True) -> DataFrame:
     known = files.where(reduce(lambda a, b: a & b, [F.col(k) != "" for k in keys[1:]]) & F.col("size").isNotNull())
     # sizes of groups first, so that no group is gathered on one task
     groups = known.groupBy(*keys).agg(F.count("*").alias("n"), F.min("file_id").alias("first")).where("n >= 2")
-    return known.join(groups, keys).select(F.col("first").alias("group_no"), "file_id", F.lit(1.0 if confirm else 0.95).alias("confidence"))
+    return sorted_join(known, groups, keys).select(F.col("first").alias("group_no"), "file_id", F.lit(1.0 if confirm else 0.95).alias("confidence"))
 
 
 def original_order(f: str = "") -> Column:
@@ -56,15 +57,15 @@ def near_edges(files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash"
     most a minute apart, too. Unusable hashes match nothing. Copies of one hash are compared once.
     """
     if exact is not None:
-        files = files.join(exact.select("file_id").distinct(), "file_id", "left_anti")
+        files = sorted_join(files, exact.select("file_id").distinct(), "file_id", "left_anti")
     kinds = F.array(*[F.struct(F.lit(hashes.index(h)).alias("kind"), number(files, h).alias("v")) for h in hashes])
     at = files.select("file_id", F.explode(kinds).alias("h")).select("file_id", "h.kind", "h.v").where("v IS NOT NULL")
     a, b = at.select("kind", F.col("file_id").alias("x"), F.col("v").alias("a")), at.select("kind", F.col("file_id").alias("y"), F.col("v").alias("b"))
     near = near_values(at.select("kind", "v"), radius, "v", by=("kind",))
-    parts = [near.join(a, ["kind", "a"]).join(b, ["kind", "b"]).select("x", "y", "distance"), a.join(b.withColumnRenamed("b", "a"), ["kind", "a"]).where("x < y").select("x", "y", F.lit(0).alias("distance"))]
+    parts = [sorted_join(sorted_join(near, a, ["kind", "a"]), b, ["kind", "b"]).select("x", "y", "distance"), sorted_join(a, b.withColumnRenamed("b", "a"), ["kind", "a"]).where("x < y").select("x", "y", F.lit(0).alias("distance"))]
     best = reduce(DataFrame.union, parts).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
     side = lambda n: files.select(F.col("file_id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("dims_w", "dims_h", "exif_dt")])
-    rows = best.join(side("a"), "a").join(side("b"), "b")
+    rows = sorted_join(sorted_join(best, side("a"), "a"), side("b"), "b")
     keep = media.dims_compatible(F.col("dims_w_a"), F.col("dims_h_a"), F.col("dims_w_b"), F.col("dims_h_b"), tolerance)
     if strict:
         keep &= media.times_close(F.col("exif_dt_a"), F.col("exif_dt_b"))
@@ -138,22 +139,23 @@ def leader_groups(spark: SparkSession, edges: DataFrame) -> DataFrame:
     count = clean.count()
     if count <= BLOCK_EDGES:
         return clean.coalesce(1).mapInArrow(_greedy, "leader long, file_id long, distance int")
-    first = clean.select(F.col("a").alias("id")).distinct().join(clean.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    first = clean.select(F.col("a").alias("id")).distinct()
+    first = sorted_join(first, clean.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     known = [stage.write(first.select("id", F.lit(1).alias("state")), "states")]
     left = clean.select("a", "b", F.lit(-1).alias("state"))
     while count:
-        told = left.join(known[-1].select(F.col("id").alias("a"), F.col("state").alias("now")), "a", "left").select("a", "b", F.coalesce("now", "state").alias("state"))
+        told = sorted_join(left, known[-1].select(F.col("id").alias("a"), F.col("state").alias("now")), "a", "left").select("a", "b", F.coalesce("now", "state").alias("state"))
         told = stage.write(told, "told")
         # whatever has a leader for a neighbour is a member; so a file with most edges is settled before they'd be brought to one task
         sure = stage.write(told.where("state = 1").select(F.col("b").alias("id")).distinct(), "sure")
-        open_ = told.join(sure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state").repartitionByRange(-(-count // BLOCK_EDGES), "b")
+        open_ = sorted_join(told, sure.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state").repartitionByRange(-(-count // BLOCK_EDGES), "b")
         known.append(stage.write(open_.mapInArrow(_settle, "id long, state int").union(sure.select("id", F.lit(0))), "states"))
         stage.drop(left)
-        left = stage.write(told.join(known[-1].select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state"), "left")
+        left = stage.write(sorted_join(told, known[-1].select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "state"), "left")
         stage.drop(told)
         count = left.count()
     leaders = reduce(DataFrame.union, known).where("state = 1").select(F.col("id").alias("leader"))
-    member = clean.join(leaders, clean.a == leaders.leader).join(leaders.select(F.col("leader").alias("b")), "b", "left_anti")
+    member = sorted_join(sorted_join(clean, leaders.withColumn("a", F.col("leader")), "a"), leaders.select(F.col("leader").alias("b")), "b", "left_anti")
     nearest = member.groupBy("b").agg(F.min(F.struct("a", "distance")).alias("m")).select(F.col("m.a").alias("leader"), F.col("b").alias("file_id"), "m.distance")
     heads = nearest.select("leader").distinct().select("leader", F.col("leader").alias("file_id"), F.lit(None).cast("int").alias("distance"))
     return nearest.union(heads)
@@ -165,7 +167,7 @@ def alike(files: DataFrame, hashes: tuple[str, ...], strict: bool) -> DataFrame:
     same = [c for c in known.columns if c != "file_id"]
     first = known.groupBy(*same).agg(F.min("file_id").alias("first"))
     equal = reduce(lambda x, y: x & y, [F.col(f"k.{c}").eqNullSafe(F.col(f"f.{c}")) for c in same])
-    return known.alias("k").join(first.alias("f"), equal).select("k.file_id", "f.first")
+    return sorted_join(known.alias("k"), first.alias("f"), equal).select("k.file_id", "f.first")
 
 
 def near_groups(spark: SparkSession, files: DataFrame, radius: int, hashes: tuple[str, ...] = ("phash", "dhash", "whash"), exact: DataFrame | None = None, strict: bool = False, tolerance: float = 0.1) -> DataFrame:
@@ -176,21 +178,21 @@ def near_groups(spark: SparkSession, files: DataFrame, radius: int, hashes: tupl
     """
     stage = Stage(spark, "near")
     if exact is not None:
-        files = files.join(exact.select("file_id").distinct(), "file_id", "left_anti")
+        files = sorted_join(files, exact.select("file_id").distinct(), "file_id", "left_anti")
     files = stage.write(files.select("file_id", "dims_w", "dims_h", "exif_dt", *[number(files, h).alias(h) for h in hashes]), "files")
     like = stage.write(alike(files, hashes, strict), "alike")
-    firsts = files.join(like.where("file_id = first").select("file_id"), "file_id", "left_semi")
+    firsts = sorted_join(files, like.where("file_id = first").select("file_id"), "file_id", "left_semi")
     rows = leader_groups(spark, near_edges(firsts, radius, hashes, strict=strict, tolerance=tolerance))
     rows = stage.write(rows, "groups")
     others = like.where("file_id <> first")
-    joined = others.join(rows.select(F.col("file_id").alias("first"), "leader", F.coalesce("distance", F.lit(0)).alias("distance")), "first", "left")
+    joined = sorted_join(others, rows.select(F.col("file_id").alias("first"), "leader", F.coalesce("distance", F.lit(0)).alias("distance")), "first", "left")
     joined = joined.select(F.coalesce("leader", "first").alias("leader"), "file_id", F.coalesce("distance", F.lit(0)).alias("distance"))
     # a first file that only its copies join leads a group of its own
-    alone = others.select(F.col("first").alias("leader")).distinct().join(rows.select(F.col("file_id").alias("leader")), "leader", "left_anti")
+    alone = sorted_join(others.select(F.col("first").alias("leader")).distinct(), rows.select(F.col("file_id").alias("leader")), "leader", "left_anti")
     rows = stage.write(rows.union(joined).union(alone.select("leader", F.col("leader").alias("file_id"), F.lit(None).cast("int"))), "members")
     least = rows.groupBy("leader").agg(F.min("distance").alias("d"))
     score = F.greatest(F.lit(0.1), 1.0 - F.col("d") / F.lit(float(max(radius, 1))))
-    return rows.join(least, "leader").select(F.col("leader").alias("group_no"), "file_id", score.alias("confidence"))
+    return sorted_join(rows, least, "leader").select(F.col("leader").alias("group_no"), "file_id", score.alias("confidence"))
 
 
 def two_tier(spark: SparkSession, files: DataFrame, radius: int = RADIUS["Balanced"], confirm: bool = True, **options) -> DataFrame:
@@ -204,15 +206,15 @@ def two_tier(spark: SparkSession, files: DataFrame, radius: int = RADIUS["Balanc
     members = exact.withColumn("tier", F.lit("exact")).unionByName(near.withColumn("tier", F.lit("near")))
     members = stage.write(members, "members")
     key = ["tier", "group_no"]
-    rows = members.select(*key, "file_id").join(files, "file_id")
+    rows = sorted_join(members.select(*key, "file_id"), files, "file_id")
     chosen = rows.groupBy(*key).agg(F.min(original_order()).alias("o")).select(*key, F.col("o.file_id").alias("original_id"))
     role = F.when(F.col("file_id") == F.col("original_id"), "original").otherwise("duplicate")
-    return members.join(chosen, key).select(*key, "file_id", role.alias("role"), "confidence")
+    return sorted_join(members, chosen, key).select(*key, "file_id", role.alias("role"), "confidence")
 
 
 def summary(groups: DataFrame, files: DataFrame) -> DataFrame:
     """One row: groups, by tier and by confidence, files, duplicates, and the size of all different duplicates."""
-    sized = groups.join(files.select("file_id", "size"), "file_id", "left")
+    sized = sorted_join(groups, files.select("file_id", "size"), "file_id", "left")
     per = sized.groupBy("tier", "group_no").agg(F.first("confidence").alias("c"), F.count("*").alias("n"), F.count_if(F.col("role") == "duplicate").alias("d"))
     totals = per.agg(
         F.count("*").alias("total_groups"), F.count_if(F.col("tier") == "exact").alias("exact_groups"), F.count_if(F.col("tier") == "near").alias("near_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"),
