@@ -8,7 +8,7 @@ from plans import all_plans
 from lumatwin.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["j08_near_pairs_r6", "j08_near_pairs_r12", "j09_near_pairs_multi", "f02_similarity_score", "i11_threshold_sweep", "i11_threshold_groups", "g01_near_groups_r8", "g01_near_groups_strict_r6", "g03_two_tier"])
+@pytest.mark.parametrize("name", ["j08_near_pairs_r6", "j08_near_pairs_r12", "j09_near_pairs_multi", "f02_similarity_score", "i11_threshold_sweep", "i11_threshold_groups", "g01_near_groups_r8", "g01_near_groups_strict_r6", "g03_two_tier", "j16_tuner_groups"])
 def test_near_values_and_groups_are_joined_by_sorting(spark, tiny, monkeypatch, name):
     found = all_plans(monkeypatch, lambda: catalog.queries()[name](spark, tiny))
     assert any("SortMergeJoin" in p for p in found)

@@ -98,6 +98,20 @@ def test_near_texts(spark):
     assert got == {(i, j, differ(x, y)) for i, x in known for j, y in known if i < j and differ(x, y) <= 3}
 
 
+@pytest.mark.parametrize("runs", [None, 1, 2, 3, 4])
+def test_near_digits_however_they_are_cut(spark, runs):
+    from lumatwin.operators.hamming import near_digits
+
+    rng = random.Random(10)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    values = {x ^ sum(rng.randrange(16) << 4 * d for d in rng.sample(range(16), n)) for x in base for n in range(8)}
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    differ = lambda x, y: sum(p != q for p, q in zip(f"{x % 2**64:016x}", f"{y % 2**64:016x}"))
+    known = sorted(map(signed, values))
+    got = sorted(tuple(r) for r in near_digits(spark.createDataFrame([(v,) for v in [*known, known[0], None]], "value long"), 5, runs).collect())
+    assert got == [(x, y, differ(x, y)) for k, x in enumerate(known) for y in known[k + 1 :] if differ(x, y) <= 5]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
